@@ -16,7 +16,7 @@ from millrace.llm.tokens import default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Cost of a cut, in padding tokens: between documents, after a sentence, inside a sentence.
-DOCUMENT, SENTENCE, INSIDE = 0, 8, 48
+DOCUMENT, SENTENCE, INSIDE = 0, 4, 12
 
 
 def cuts(points: np.ndarray, cost: np.ndarray, room: int) -> list[int]:
@@ -61,8 +61,9 @@ def windows(sizes: np.ndarray, sentence_ends: np.ndarray, room: int) -> np.ndarr
     ends = np.cumsum(sizes)
     at = np.unique(np.concatenate([[0], ends, sentence_ends[sentence_ends < total]]))
     gap = np.diff(at)
-    long = np.flatnonzero(gap > room // 8)  # cuts inside a long stretch: its full windows and eighths of them
-    more = [np.arange(at[k] + room // 8, at[k + 1], room // 8) for k in long]
+    step = max(1, room // 64)
+    long = np.flatnonzero(gap > 2 * step)  # a long stretch may also be cut inside
+    more = [np.arange(at[k] + step, at[k + 1], step) for k in long]
     points = np.unique(np.concatenate([at, *more])).astype(np.int64)
     cost = np.full(len(points), INSIDE, np.float64)
     cost[np.isin(points, sentence_ends)] = SENTENCE
