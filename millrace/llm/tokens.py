@@ -7,6 +7,7 @@ The word-end BPE vocabulary drops white space before it splits, so a text's ids
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +15,21 @@ import pyarrow.compute as pc
 
 #: Splits "letters" and one closing mark, which the vocabulary's splitting pattern always separates.
 _TAIL = r"^(?P<stem>[a-zß-öø-ÿ]+)(?P<mark>[.,;:!?])$"
-_SEP = "\x01"
+#: A run of letters is one word for that pattern.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordEncoder:
     """Encodes columns of text; at most ``most`` words stay cached between calls."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        sep = self.tok.encode(_SEP, add_special_tokens=False).ids
-        self.sep = sep[0] if len(sep) == 1 else None
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # of an id: it ends a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -34,20 +37,19 @@ class WordEncoder:
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def _learn(self, words: list[str]) -> None:
-        """Add words to the cache: many are encoded in one call, held apart by a mark that no word has."""
+        """Add words to the cache: runs of letters are encoded many in one call and told apart by word-end ids."""
         ids: list[np.ndarray] = []
-        plain = [w for w in words if w and _SEP not in w] if self.sep is not None else []
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            got = np.array(self.tok.encode_batch_fast([f" {_SEP} ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(got == self.sep)
-            if len(cuts) != len(part) - 1:
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            stop = np.flatnonzero(self.last[got]) + 1
+            if len(stop) != len(part):
                 ids += [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             else:
-                bounds = np.concatenate([[-1], cuts, [len(got)]])
-                ids += [got[a + 1 : b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        done = set(plain) if len(plain) < len(words) else None
-        rest = [w for w in words if w not in done] if done is not None else []
+                ids += np.split(got, stop[:-1])
+        known = set(plain)
+        rest = [w for w in words if w not in known]
         ids += [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
         for w in plain + rest:
             self.at[w] = len(self.at)
