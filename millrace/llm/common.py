@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tota
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has about ``most`` bytes of that text column (or one row)."""
     col = batch.column(batch.schema.get_field_index(column))
-    size = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64()).buffers()[1], np.int64)[: len(col)]
+    size = np.frombuffer(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64()).buffers()[1], np.int64)[: len(col)]
     at, total = 0, np.cumsum(size)
     while at < len(col):
         base = total[at - 1] if at else 0
@@ -105,7 +106,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its offsets; null counts as empty."""
-    col = pa.compute.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_string()), "")
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     if not len(col) or col.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import read
 from millrace.llm.decontam import leaks
 from millrace.llm.exact import exact_groups
+from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 from millrace.llm.planes import token_table
 
@@ -29,8 +30,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_planes, op5_exact_dedup, op6_packing, op7_decontamination)}
+    return {f.__name__: f for f in (op3_token_planes, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
 
 
 _EXACT = r"""
