@@ -12,12 +12,17 @@ from millrace.llm.exact import exact_groups
 from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 from millrace.llm.planes import token_table
+from millrace.llm.substr import remove_repeats
 
 
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_planes, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
+    return {f.__name__: f for f in (op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
 
 
 _EXACT = r"""
