@@ -3,32 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, read, ready
+from millrace.llm.common import read, ready, release, scratch_path, without
 from millrace.llm.decontam import drop_leaks
 from millrace.llm.exact import drop_repeats
+from millrace.llm.langid import rejected
+from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letters, or mostly noise) go."""
+    release(ready(spark))
+    return without(docs, rejected(docs))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    ready(spark)
+    release(ready(spark))
     return drop_repeats(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that 5-word shingles link (Jaccard >= 0.75), the one with the smallest doc_id stays."""
+    release(ready(spark))
+    return without(docs, near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 75 % or more of a benchmark item go."""
-    ready(spark)
+    release(ready(spark))
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 ids."""
-    ready(spark)
+    release(ready(spark))
     return pack(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination), ("packing", packing)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 #: SQL cannot express tokenization, language mixtures or connected components; tests use brute force.
 ORACLE_SQL = None
@@ -36,6 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    base = scratch_path(spark, "pipeline", keep=True)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)  # each stage starts by dropping the scratch tables of the one before
+        docs = spark.read.parquet(path)
     return docs

@@ -39,10 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path in the shared folder that spark.checkpoint.dir names.
 
     Only where that setting is missing (tests, a laptop) a temporary folder of this machine is used.
+    release() deletes it unless ``keep``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -51,7 +52,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         spark.conf.set("spark.checkpoint.dir", f"file://{base}")
         base = f"file://{base}"
     path = f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import read
 from millrace.llm.decontam import leaks
 from millrace.llm.exact import exact_groups
+from millrace.llm.langid import predict_languages
 from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 from millrace.llm.planes import token_table
 from millrace.llm.substr import remove_repeats
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
 
 
 _EXACT = r"""
