@@ -14,6 +14,7 @@ from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 from millrace.llm.planes import token_table
 from millrace.llm.substr import remove_repeats
+from millrace.llm.toxicity import predict_toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op8_toxicity, op10_ngram_join)}
 
 
 _EXACT = r"""
