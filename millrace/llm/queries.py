@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import read
 from millrace.llm.decontam import leaks
 from millrace.llm.exact import exact_groups
+from millrace.llm.gru import lm_scores
 from millrace.llm.langid import predict_languages
 from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
@@ -45,12 +46,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op8_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op8_toxicity, op9_gru_scores, op10_ngram_join)}
 
 
 _EXACT = r"""
