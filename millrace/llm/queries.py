@@ -14,6 +14,7 @@ from millrace.llm.langid import predict_languages
 from millrace.llm.ngramjoin import near_groups
 from millrace.llm.packing import pack
 from millrace.llm.planes import token_table
+from millrace.llm.secrets import secret_table
 from millrace.llm.substr import remove_repeats
 from millrace.llm.toxicity import predict_toxicity
 
@@ -22,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_table(read(spark, sf_dir, "documents"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op8_toxicity, op9_gru_scores, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_secrets, op3_token_planes, op4_substrings, op5_exact_dedup, op6_packing, op7_decontamination, op8_toxicity, op9_gru_scores, op10_ngram_join)}
 
 
 _EXACT = r"""
