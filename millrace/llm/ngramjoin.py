@@ -160,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidates(prefixes: DataFrame) -> DataFrame:
-    """Token-group matrix: (tok, grp, gsize, doc) rows -> (q, g) that share two tokens or more.
+    """Token-group matrix: (tok, grp, gsize, doc) rows -> (q, g, hits) that share two tokens or more.
 
     Of two groups, the members of the smaller one query the larger one. A token of one group gives nothing.
     """
@@ -200,7 +200,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
 
     rows = prefixes.repartition("tok").sortWithinPartitions("tok").select("tok", "grp", "gsize", "doc")
     hits = rows.mapInArrow(run, "q long, g long").groupBy("q", "g").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.filter(F.col("hits") >= SHARED).select("q", "g")
+    return hits.filter(F.col("hits") >= SHARED)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -240,16 +240,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((s, cls, doc))
                 size = np.minimum(n, n - -(-3 * n // 4) + SHARED)
                 keep = np.arange(len(s)) - at[:-1][doc] < size[doc]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "toks"])
+                rank = (cls << 56) | (s >> np.uint64(8)).astype(np.int64)
+                last = np.zeros(len(n), np.int64)
+                last[n > 0] = rank[order][(at[:-1] + size - 1)[n > 0]]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "last", "toks"])
 
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("rep"), "text")
     text = text.filter(may_hold(holder(groups, "rep"))(F.col("rep")))
-    found = text.mapInArrow(prefix, "rep long, toks array<long>").filter("size(toks) > 1")
+    found = materialize(text.mapInArrow(prefix, "rep long, last long, toks array<long>").filter("size(toks) > 1"), "prefixes", "none")
     matrix = found.join(groups, "rep").select(F.explode("toks").alias("tok"), "grp", "gsize", F.col("rep").alias("doc"))
     cand = materialize(candidates(matrix), "qualifying")
-    own = groups.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qg"))
-    member = groups.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("grp").alias("g"))
+    # Of two prefixes the one that ends first has met all its partners in the other: the overlap is at most the
+    # shared prefix tokens and the rest of that set. A link needs 3/7 of both sizes.
+    size = groups.join(found.select("rep", "last"), "rep")
+    own = size.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("last").alias("ql"))
+    member = size.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("last").alias("ml"), F.col("grp").alias("g"))
+    rest = lambda n: f"(ceil(0.75D * {n}) - {SHARED})"
+    bound = f"hits + case when ql < ml then {rest('qn')} when ml < ql then {rest('mn')} else greatest({rest('qn')}, {rest('mn')}) end"
     opened = cand.join(own, "q").join(member, "g").filter("4 * least(qn, mn) >= 3 * greatest(qn, mn) and q <> m")
+    opened = opened.filter(f"7 * ({bound}) >= 3 * (qn + mn)")
     opened = materialize(opened.select(F.col("q").alias("a"), F.col("m").alias("b")).distinct(), "opened")
     more = verified(docs, opened)
     at = groups.select("rep", "grp")
