@@ -2,8 +2,8 @@
 
 1. Texts with equal shingle sets collapse to one representative each.
 2. Grouping: MinHash bands put likely similar representatives in a bucket; each is verified against the bucket's
-   smallest id. Connected representatives form a group.
-3. Token-group matrix: each set sends its prefix (its tokens by rising frequency class, up to the length at which
+   smallest and largest id. Connected representatives form a group.
+3. Token-group matrix: each set sends its prefix (its tokens, rare ones first, up to the length at which
    two sets of Jaccard >= 0.75 must share two tokens) to the token; a token lists the groups whose union has it.
    A query and a group that share fewer than two such tokens cannot hold a link: the bound.
 4. Only qualifying groups are opened, and their members verified on whole sets.
@@ -11,19 +11,20 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, holder, materialize, may_hold, mix, ready, slices, utf8
+from millrace.llm.common import Bits, attach, holder, materialize, may_hold, mix, ready, slices, utf8
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
-WORDS, BANDS, ROWS, SHARED = 5, 6, 2, 2
-#: Token counters: a fixed table, whatever the input; only the order of tokens depends on it.
-COUNTERS, CHUNK = 1 << 21, 1 << 15
+WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
+#: Tokens in so many texts count as frequent and come last in the order of prefixes.
+FREQUENT = 8
+#: For counting, tokens are cut to 40 bits and dealt by the first 12; only their order depends on it.
+RANGE_BITS, REST_BITS = 12, 28
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
 NONE = -(1 << 63)
 
@@ -39,15 +40,26 @@ def _least(n: int) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per row: size, a 128-bit signature of the shingle set, MinHash bands; and the partial token counters."""
+    """Per row: size, a 128-bit signature of the shingle set, MinHash bands; and the tokens of each task, packed for counting."""
+
+    def packed(held):
+        """Sorted tokens of each range, as byte planes of their differences."""
+        t = np.sort(np.concatenate(held))
+        z, cuts = zstandard.ZstdCompressor(level=1), np.searchsorted(t, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(REST_BITS))
+        rest = (t & np.uint64((1 << REST_BITS) - 1)).astype(np.uint32)
+        full = np.flatnonzero(np.diff(cuts))
+        blobs = [z.compress(np.ascontiguousarray(np.diff(rest[cuts[k] : cuts[k + 1]], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes()) for k in full]
+        none = [pa.nulls(len(full), pa.int64()) for _ in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(full), *none, pa.nulls(len(full), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
 
     def run(batches):
-        count = np.zeros(COUNTERS, np.int64)
+        held, size = [], 0
         for batch in batches:
             for b in slices(batch, "text"):
                 sets, at = _sets(b)
                 n = np.diff(at)
-                count += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                held.append(sets >> np.uint64(64 - RANGE_BITS - REST_BITS))
+                size += len(sets)
                 full = np.flatnonzero(n)
                 first = at[:-1][full]
                 a, c = mix(sets), mix(sets ^ np.uint64(0x5851F42D4C957F2D))
@@ -60,32 +72,42 @@ def profiles(docs: DataFrame) -> DataFrame:
                         band[full, k] = mix(low[ROWS * k] + mix(low[ROWS * k + 1]) + np.uint64(k))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), bands, pa.nulls(len(n), pa.binary())], names)
-        for k in range(0, COUNTERS, CHUNK):
-            if (part := count[k : k + CHUNK]).any():
-                blob = zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int64())), pa.array([blob], pa.binary())], names)
+                if size > 4_000_000:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
 
     names = ["doc_id", "n", "sig1", "sig2", "bands", "counts"]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, bands array<long>, counts binary")
 
 
-def levels(parts: DataFrame) -> np.ndarray:
-    """The frequency class (log2) of each counter: 2 MB, whatever the input."""
+def frequent(parts: DataFrame):
+    """A broadcast filter (8 MB at most) of the tokens that FREQUENT texts or more have.
+
+    Tokens that it takes for frequent by mistake only come later in the order, for all texts alike.
+    """
+
+    def count(arrays):
+        u, n = np.unique(np.concatenate(arrays), return_counts=True)
+        return u[n >= FREQUENT].astype(np.int64)
 
     def merge(batches):
-        held: dict[int, np.ndarray] = {}
+        now, arrays = None, []
         for b in batches:
-            for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(z), np.uint32).astype(np.uint64)
-                held[c] = held[c] + part if c in held else part
-        packed = [np.log2(v.astype(np.float64) + 1).astype(np.uint8).tobytes() for v in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["chunk", "counts"])
+            for k, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != now and arrays:
+                    yield pa.RecordBatch.from_arrays([pa.array(count(arrays) | now << REST_BITS)], ["t"])
+                    arrays = []
+                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+                now = k
+                arrays.append(np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint64))
+        if arrays:
+            yield pa.RecordBatch.from_arrays([pa.array(count(arrays) | now << REST_BITS)], ["t"])
 
-    out = np.zeros(COUNTERS, np.uint8)
-    for r in parts.repartition(COUNTERS // CHUNK, "chunk").mapInArrow(merge, "chunk long, counts binary").toLocalIterator():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
-    return out
+    hot = materialize(parts.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "t long"), "frequent")
+    return hot.sparkSession.sparkContext.broadcast(Bits(hot.count()).build(hot, "t"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -215,13 +237,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     table = materialize(profiles(docs), "profiles")
     rows = table.filter("counts is null").select("doc_id", "n", "sig1", "sig2", "bands")
     total = rows.count()
-    level = spark.sparkContext.broadcast(levels(table.filter("counts is not null").select(F.col("doc_id").alias("chunk"), "counts")))
+    often = frequent(table.filter("counts is not null").select(F.col("doc_id").alias("range"), "counts"))
     same = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(same, "reps")
 
     band = reps.select("rep", F.explode("bands").alias("band"))
-    pivots = materialize(band.groupBy("band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "pivots")
-    pairs = attach(band, pivots, ["band"], "c", total * BANDS).filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = materialize(band.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "pivots")
+    pairs = attach(band, pivots, ["band"], "c", total * BANDS)
+    pairs = pairs.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).union(pairs.filter("rep <> low and rep <> high").select("rep", "high")).distinct()
     links = verified(docs, materialize(pairs, "pairs"))
     linked = components(links)
 
@@ -235,8 +258,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 s, at = _sets(b)
                 n = np.diff(at)
                 doc = np.repeat(np.arange(len(n)), n)
-                cls = level.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
-                cls = np.where(cls > np.median(level.value) + 1, cls, 0)  # of tokens that stand out
+                cls = often.value.test(s >> np.uint64(64 - RANGE_BITS - REST_BITS)).astype(np.int64)
                 order = np.lexsort((s, cls, doc))
                 size = np.minimum(n, n - -(-3 * n // 4) + SHARED)
                 keep = np.arange(len(s)) - at[:-1][doc] < size[doc]
@@ -253,16 +275,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # Of two prefixes the one that ends first has met all its partners in the other: the overlap is at most the
     # shared prefix tokens and the rest of that set. A link needs 3/7 of both sizes.
     size = groups.join(found.select("rep", "last"), "rep")
-    own = size.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("last").alias("ql"))
-    member = size.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("last").alias("ml"), F.col("grp").alias("g"))
+    own = size.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("last").alias("ql"), F.col("grp").alias("qg"))
+    member = size.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("last").alias("ml"), F.col("grp").alias("g"), "gsize")
     rest = lambda n: f"(ceil(0.75D * {n}) - {SHARED})"
     bound = f"hits + case when ql < ml then {rest('qn')} when ml < ql then {rest('mn')} else greatest({rest('qn')}, {rest('mn')}) end"
-    opened = cand.join(own, "q").join(member, "g").filter("4 * least(qn, mn) >= 3 * greatest(qn, mn) and q <> m")
-    opened = opened.filter(f"7 * ({bound}) >= 3 * (qn + mn)")
-    opened = materialize(opened.select(F.col("q").alias("a"), F.col("m").alias("b")).distinct(), "opened")
-    more = verified(docs, opened)
+    able = f"4 * least(qn, mn) >= 3 * greatest(qn, mn) and q <> m and 7 * ({bound}) >= 3 * (qn + mn)"
+    early = f"(gsize <= {2 * FIRST} or pmod(xxhash64(m), gsize) < {FIRST})"
     at = groups.select("rep", "grp")
-    across = more.join(at.toDF("a", "ga"), "a").join(at.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+
+    def opened(rows: DataFrame, test: str) -> DataFrame:
+        met = rows.join(own, "q").join(member, "g").filter(f"{able} and {test}")
+        links = verified(docs, materialize(met.select(F.col("q").alias("a"), F.col("m").alias("b")).distinct(), "opened"))
+        return materialize(links.join(at.toDF("a", "ga"), "a").join(at.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), "across")
+
+    # A query meets a few members of a large group first, by a hash; only pairs of groups that stay apart open in full.
+    across = opened(cand, early)
+    apart = cand.join(member.filter(f"gsize > {2 * FIRST}").select("g").distinct(), "g", "left_semi").join(own.select("q", "qg"), "q")
+    apart = apart.join(across.toDF("qg", "g"), ["qg", "g"], "left_anti").select("q", "g", "hits")
+    apart = materialize(apart, "apart")
+    if not apart.isEmpty():
+        across = across.union(opened(apart, f"not {early}"))
     roots = components(across)
 
     final = groups.join(roots, F.col("grp") == F.col("id"), "left").groupBy("rep").agg(F.min(F.coalesce("root", "grp")).alias("component_id"))
