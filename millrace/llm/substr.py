@@ -22,7 +22,7 @@ from millrace.llm.common import Bits, attach, holder, materialize, may_hold, mix
 LENGTH, GRAM = 400, 32
 BACK = LENGTH - GRAM
 #: Anchors with more distinct contexts than this go by string hashes instead, one row each, on all executors.
-MOST = 2000
+MOST = 50_000
 _P = np.uint64(0xE7037ED1A0B428DB)
 _TAB = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
 
