@@ -199,6 +199,17 @@ def may_hold(bits):
     return lambda c: test(F.xxhash64(c))
 
 
+def held_texts(batch: pa.RecordBatch, bits) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (id, text, h), only of rows whose hash h the broadcast filter may hold.
+
+    Tested where the texts are used, so that a task needs one Python worker instead of two.
+    """
+    keep = pa.array(bits.value.test(np.asarray(batch.column(2), np.int64)), pa.bool_()) if len(batch) else pa.array([], pa.bool_())
+    for b in slices(batch, "text"):
+        yield b.filter(keep.slice(0, len(b)))
+        keep = keep.slice(len(b))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the ids in gone.__gone, all columns kept.
 

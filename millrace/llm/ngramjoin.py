@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Bits, attach, holder, materialize, may_hold, mix, ready, slices, utf8
+from millrace.llm.common import Bits, attach, held_texts, holder, materialize, mix, ready, slices, utf8
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
 WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
@@ -120,7 +120,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in held_texts(batch, wanted):
                 s, at = _sets(b)
                 raw = s.tobytes()
                 blobs = pa.array([raw[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
@@ -137,8 +137,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         keep.append(k)
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text")
-    rows = rows.filter(may_hold(holder(ids, "id"))(F.col("id")))
+    wanted = holder(ids, "id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text").withColumn("h", F.xxhash64("id"))
     tokens = materialize(rows.mapInArrow(sets, "id long, tokens binary").join(ids, "id", "left_semi"), "sets")
     total = pairs.count()
     uses = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "uses")
@@ -252,9 +252,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sizes = linked.groupBy("root").agg(F.count(F.lit(1)).alias("gsize"))
     groups = materialize(groups.join(sizes, F.col("grp") == F.col("root"), "left").select("rep", "n", "grp", F.coalesce("gsize", F.lit(1)).cast("long").alias("gsize")), "groups")
 
+    wanted = holder(groups, "rep")
+
     def prefix(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in held_texts(batch, wanted):
                 s, at = _sets(b)
                 n = np.diff(at)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -267,8 +269,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 last[n > 0] = rank[order][(at[:-1] + size - 1)[n > 0]]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "last", "toks"])
 
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("rep"), "text")
-    text = text.filter(may_hold(holder(groups, "rep"))(F.col("rep")))
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("rep"), "text").withColumn("h", F.xxhash64("rep"))
     found = materialize(text.mapInArrow(prefix, "rep long, last long, toks array<long>").filter("size(toks) > 1"), "prefixes", "none")
     matrix = found.join(groups, "rep").select(F.explode("toks").alias("tok"), "grp", "gsize", F.col("rep").alias("doc"))
     cand = materialize(candidates(matrix), "qualifying")
