@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +39,30 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Add words to the cache: runs of letters are encoded many in one call and told apart by word-end ids."""
-        ids: list[np.ndarray] = []
+        flat, sizes = [self.flat], [self.size]
+        kind = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
+
+        def each(part: list[str]) -> None:
+            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), kind, int(sizes[-1].sum())))
+
         plain = [w for w in words if _LETTERS.fullmatch(w)]
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
             stop = np.flatnonzero(self.last[got]) + 1
             if len(stop) != len(part):
-                ids += [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                each(part)
             else:
-                ids += np.split(got, stop[:-1])
+                flat.append(got)
+                sizes.append(np.diff(stop, prepend=0))
         known = set(plain)
         rest = [w for w in words if w not in known]
-        ids += [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-        for w in plain + rest:
-            self.at[w] = len(self.at)
-        n = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.size = np.concatenate([self.size, n])
-        self.flat = np.concatenate([self.flat, *[x.astype(np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32) for x in ids]])
+        each(rest)
+        self.at.update(zip(plain + rest, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: pa.Array, sentences: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Ids of all texts, each text's offsets, and with ``sentences`` where the sentences end (in ids).
@@ -86,7 +92,8 @@ class WordEncoder:
         stops = None
         if sentences:
             full = np.asarray(pc.match_substring_regex(words, r"[.!?]['\")\]]*$"), bool) if len(words) else np.zeros(0, bool)
-            stops = np.unique(ends[1:][full[code]]) if len(code) else np.zeros(0, np.int64)
+            stops = ends[1:][full[code]] if len(code) else np.zeros(0, np.int64)
+            stops = stops[np.diff(stops, prepend=-1) > 0]  # ascending already
         return ids, ends[wo], stops
 
 
