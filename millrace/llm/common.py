@@ -61,7 +61,8 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    # row groups of 16 MB: a writer buffers one whole, a reader loads its column chunks whole
+    df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has been written

@@ -202,10 +202,10 @@ def candidates(prefixes: DataFrame) -> DataFrame:
             for rows in np.split(pick, bounds) if len(pick) else []:
                 gs, at = np.unique(grp[rows], return_index=True)
                 g_size = size[rows][at]
-                for lo in range(0, len(rows), 4096):
-                    part = rows[lo : lo + 4096]
-                    for glo in range(0, len(gs), 1024):
-                        g, n = gs[glo : glo + 1024], g_size[glo : glo + 1024]
+                for lo in range(0, len(rows), 1024):  # tiles of 256 K cells, so 4 MB of pairs at most
+                    part = rows[lo : lo + 1024]
+                    for glo in range(0, len(gs), 256):
+                        g, n = gs[glo : glo + 256], g_size[glo : glo + 256]
                         less = (size[part][:, None] < n) | ((size[part][:, None] == n) & (grp[part][:, None] < g))
                         i, j = np.nonzero(less)
                         if len(i):
