@@ -6,7 +6,8 @@
 3. Token-group matrix: each set sends its prefix (its tokens, rare ones first, up to the length at which
    two sets of Jaccard >= 0.75 must share two tokens) to the token; a token lists the groups whose union has it.
    A query and a group that share fewer than two such tokens cannot hold a link: the bound.
-4. Only qualifying groups are opened, and their members verified on whole sets.
+4. Only qualifying groups are opened. A member stays if the prefixes and two parity sketches leave room for a link,
+   and is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from millrace.llm.common import Bits, attach, held_texts, holder, materialize, m
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
 WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
+#: 64-bit words of a set's parity sketch: each token flips one bit, so two sketches differ in no more bits than the sets in tokens.
+PARITY = 4
 #: Tokens in so many texts count as frequent and come last in the order of prefixes.
 FREQUENT = 8
 #: For counting, tokens are cut to 40 bits and dealt by the first 12; only their order depends on it.
@@ -40,7 +43,7 @@ def _least(n: int) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Per row: size, a 128-bit signature of the shingle set, MinHash bands; and the tokens of each task, packed for counting."""
+    """Per row: size, a 128-bit signature of the shingle set, MinHash bands, a parity sketch; and the tokens of each task, packed for counting."""
 
     def packed(held):
         """Sorted tokens of each range, as byte planes of their differences."""
@@ -50,7 +53,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(np.diff(cuts))
         blobs = [z.compress(np.ascontiguousarray(np.diff(rest[cuts[k] : cuts[k + 1]], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes()) for k in full]
         none = [pa.nulls(len(full), pa.int64()) for _ in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(full), *none, pa.nulls(len(full), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(full), *none, *(pa.nulls(len(full), pa.list_(pa.int64())) for _ in range(2)), pa.array(blobs, pa.binary())], names)
 
     def run(batches):
         held, size = [], 0
@@ -65,22 +68,26 @@ def profiles(docs: DataFrame) -> DataFrame:
                 a, c = mix(sets), mix(sets ^ np.uint64(0x5851F42D4C957F2D))
                 sig = np.zeros((2, len(n)), np.uint64)
                 band = np.zeros((len(n), BANDS), np.uint64)
+                odd = np.zeros((len(n), PARITY), np.uint64)
                 if len(full):
+                    bit, word = np.uint64(1) << (a & np.uint64(63)), (a >> np.uint64(6)) % np.uint64(PARITY)
+                    for k in range(PARITY):
+                        odd[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first)
                     sig[:, full] = np.add.reduceat(a, first), np.add.reduceat(c, first)
                     low = [np.minimum.reduceat(a * s, first) for s in _SEEDS]
                     for k in range(BANDS):
                         band[full, k] = mix(low[ROWS * k] + mix(low[ROWS * k + 1]) + np.uint64(k))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), bands, pa.nulls(len(n), pa.binary())], names)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (band, odd)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), *lists, pa.nulls(len(n), pa.binary())], names)
                 if size > 4_000_000:
                     yield packed(held)
                     held, size = [], 0
         if size:
             yield packed(held)
 
-    names = ["doc_id", "n", "sig1", "sig2", "bands", "counts"]
+    names = ["doc_id", "n", "sig1", "sig2", "bands", "odd", "counts"]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, bands array<long>, counts binary")
+    return rows.mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, bands array<long>, odd array<long>, counts binary")
 
 
 def frequent(parts: DataFrame):
@@ -235,10 +242,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     spark = ready(docs.sparkSession)
     table = materialize(profiles(docs), "profiles")
-    rows = table.filter("counts is null").select("doc_id", "n", "sig1", "sig2", "bands")
+    rows = table.filter("counts is null").select("doc_id", "n", "sig1", "sig2", "bands", "odd")
     total = rows.count()
     often = frequent(table.filter("counts is not null").select(F.col("doc_id").alias("range"), "counts"))
-    same = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    same = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     reps = materialize(same, "reps")
 
     band = reps.select("rep", F.explode("bands").alias("band"))
@@ -248,11 +255,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = verified(docs, materialize(pairs, "pairs"))
     linked = components(links)
 
-    groups = reps.select("rep", "n").distinct().join(linked, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("root", "rep").alias("grp"))
+    groups = reps.select("rep", "n", "odd").distinct().join(linked, F.col("rep") == F.col("id"), "left").select("rep", "n", "odd", F.coalesce("root", "rep").alias("grp"))
     sizes = linked.groupBy("root").agg(F.count(F.lit(1)).alias("gsize"))
-    groups = materialize(groups.join(sizes, F.col("grp") == F.col("root"), "left").select("rep", "n", "grp", F.coalesce("gsize", F.lit(1)).cast("long").alias("gsize")), "groups")
+    groups = materialize(groups.join(sizes, F.col("grp") == F.col("root"), "left").select("rep", "n", "odd", "grp", F.coalesce("gsize", F.lit(1)).cast("long").alias("gsize")), "groups")
 
-    wanted = holder(groups, "rep")
+    wanted, grouped = holder(groups, "rep"), holder(linked, "id")
 
     def prefix(batches):
         for batch in batches:
@@ -267,20 +274,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 rank = (cls << 56) | (s >> np.uint64(8)).astype(np.int64)
                 last = np.zeros(len(n), np.int64)
                 last[n > 0] = rank[order][(at[:-1] + size - 1)[n > 0]]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "last", "toks"])
+                mates = grouped.value.test(np.asarray(b.column(2), np.int64)) if len(b) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.array(mates), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "last", "mates", "toks"])
 
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("rep"), "text").withColumn("h", F.xxhash64("rep"))
-    found = materialize(text.mapInArrow(prefix, "rep long, last long, toks array<long>").filter("size(toks) > 1"), "prefixes", "none")
-    matrix = found.join(groups, "rep").select(F.explode("toks").alias("tok"), "grp", "gsize", F.col("rep").alias("doc"))
+    found = materialize(text.mapInArrow(prefix, "rep long, last long, mates boolean, toks array<long>").filter("size(toks) > 1"), "prefixes", "none")
+    # a set that the filter of grouped ids clears is a group of its own: its tokens need no join
+    alone = found.filter("not mates").select("toks", F.col("rep").alias("grp"), F.lit(1).cast("long").alias("gsize"), "rep")
+    matrix = alone.union(found.filter("mates").join(groups, "rep").select("toks", "grp", "gsize", "rep"))
+    matrix = matrix.select(F.explode("toks").alias("tok"), "grp", "gsize", F.col("rep").alias("doc"))
     cand = materialize(candidates(matrix), "qualifying")
     # Of two prefixes the one that ends first has met all its partners in the other: the overlap is at most the
     # shared prefix tokens and the rest of that set. A link needs 3/7 of both sizes.
     size = groups.join(found.select("rep", "last"), "rep")
-    own = size.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("last").alias("ql"), F.col("grp").alias("qg"))
-    member = size.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("last").alias("ml"), F.col("grp").alias("g"), "gsize")
+    own = size.select(F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("odd").alias("qo"), F.col("last").alias("ql"), F.col("grp").alias("qg"))
+    member = size.select(F.col("rep").alias("m"), F.col("n").alias("mn"), F.col("odd").alias("mo"), F.col("last").alias("ml"), F.col("grp").alias("g"), "gsize")
     rest = lambda n: f"(ceil(0.75D * {n}) - {SHARED})"
     bound = f"hits + case when ql < ml then {rest('qn')} when ml < ql then {rest('mn')} else greatest({rest('qn')}, {rest('mn')}) end"
-    able = f"4 * least(qn, mn) >= 3 * greatest(qn, mn) and q <> m and 7 * ({bound}) >= 3 * (qn + mn)"
+    # Sets of Jaccard >= 0.75 differ in a seventh of both sizes at most, and their sketches in no more.
+    differ = " + ".join(f"bit_count(qo[{k}] ^ mo[{k}])" for k in range(PARITY))
+    able = f"7 * ({differ}) <= qn + mn and 4 * least(qn, mn) >= 3 * greatest(qn, mn) and q <> m and 7 * ({bound}) >= 3 * (qn + mn)"
     early = f"(gsize <= {2 * FIRST} or pmod(xxhash64(m), gsize) < {FIRST})"
     at = groups.select("rep", "grp")
 
