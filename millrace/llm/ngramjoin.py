@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Bits, attach, held_texts, holder, materialize, mix, ready, slices, utf8
+from millrace.llm.common import Bits, attach, held_texts, holder, materialize, mix, ready, slices, trimmed, utf8
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
 WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
@@ -55,6 +55,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         none = [pa.nulls(len(full), pa.int64()) for _ in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(full), *none, *(pa.nulls(len(full), pa.list_(pa.int64())) for _ in range(2)), pa.array(blobs, pa.binary())], names)
 
+    @trimmed
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -79,7 +80,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                         band[full, k] = mix(low[ROWS * k] + mix(low[ROWS * k + 1]) + np.uint64(k))
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (band, odd)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), *lists, pa.nulls(len(n), pa.binary())], names)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield packed(held)
                     held, size = [], 0
         if size:
@@ -100,6 +101,7 @@ def frequent(parts: DataFrame):
         u, n = np.unique(np.concatenate(arrays), return_counts=True)
         return u[n >= FREQUENT].astype(np.int64)
 
+    @trimmed
     def merge(batches):
         now, arrays = None, []
         for b in batches:
@@ -125,6 +127,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
 
+    @trimmed
     def sets(batches):
         for batch in batches:
             for b in held_texts(batch, wanted):
@@ -133,6 +136,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 blobs = pa.array([raw[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), blobs], ["id", "tokens"])
 
+    @trimmed
     def meet(batches):
         for b in batches:
             keep = []
@@ -194,6 +198,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
     Of two groups, the members of the smaller one query the larger one. A token of one group gives nothing.
     """
 
+    @trimmed
     def run(batches):
         held = None
 
@@ -261,6 +266,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     wanted, grouped = holder(groups, "rep"), holder(linked, "id")
 
+    @trimmed
     def prefix(batches):
         for batch in batches:
             for b in held_texts(batch, wanted):
