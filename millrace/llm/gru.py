@@ -9,18 +9,21 @@ Words are held as 64-bit hashes.
 from __future__ import annotations
 
 import io
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, materialize, ready, slices, utf8
+from millrace.llm.common import fold, materialize, ready, slices, trimmed, utf8
 from millrace.llm.textnum import word_hashes
 
 WIDTH, PER_CLASS, CLASSES = 32, 64, 32
 HEAD = PER_CLASS * CLASSES - 1  # frequent words; one place is the end mark's
 LOG10 = float(np.log(10))
+#: Rounds of training: rows whose hash (30 bits) is below the first value and in no earlier round, lanes, rate.
+ROUNDS = ((1 << 24, 64, 0.01), (1 << 26, 64, 0.005), (1 << 28, 64, 0.004), (1 << 30, 256, 0.006))
 
 
 def sigmoid(x):
@@ -124,17 +127,22 @@ class GRU:
                 total += np.bincount(np.concatenate(who), got, len(n))
         return total
 
-    def fit(self, ids: np.ndarray, lanes: int = 64, window: int = 16, rate: float = 0.004, state: dict | None = None) -> None:
-        """One pass of truncated backpropagation over a stream of ids, cut in ``lanes`` that run side by side."""
+    def fit(self, ids: np.ndarray, lanes: int = 64, window: int = 16, rate: float = 0.004, state: dict | None = None) -> np.ndarray:
+        """One pass of truncated backpropagation over a stream of ids, cut in ``lanes`` that run side by side.
+
+        Returns the end of the stream that fills no lanes (its first id has been learned, the others not yet).
+        ``state`` keeps the optimiser's averages from call to call.
+        """
         span = (len(ids) - 1) // lanes
-        if span < 2:
-            return
+        if not span:
+            return ids
+        state = {} if state is None else state
         x = ids[: span * lanes].reshape(lanes, span).T
         y = ids[1 : span * lanes + 1].reshape(lanes, span).T
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        m = state.setdefault("m", {k: np.zeros_like(v) for k, v in self.p.items()})
+        v2 = state.setdefault("v2", {k: np.zeros_like(v) for k, v in self.p.items()})
         h = np.zeros((lanes, WIDTH), np.float32)
-        for i, t0 in enumerate(range(0, span, window), 1):
+        for i, t0 in enumerate(range(0, span, window), state.get("i", 0) + 1):
             xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
             g = {k: np.zeros_like(v) for k, v in self.p.items()}
             e = self.p["emb"][xs]
@@ -162,13 +170,15 @@ class GRU:
             g["wx"] += e.reshape(-1, WIDTH).T @ flat
             np.add.at(g["emb"], xs.ravel(), flat @ self.p["wx"].T)
             scale = 1 / ys.size
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values())) * scale
+            norm = math.sqrt(sum(float((a * a).sum()) for a in g.values())) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-9))
             for k in self.p:
                 d = g[k] * scale
                 m[k] += 0.1 * (d - m[k])
                 v2[k] += 0.01 * (d * d - v2[k])
                 self.p[k] -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v2[k] / (1 - 0.99**i)) + 1e-7)
+        state["i"] = i
+        return ids[span * lanes :]
 
 
 def save(p: dict) -> bytes:
@@ -207,11 +217,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, counts: DataFrame, ends: int, warm: int = 800, part: int = 32, shards: int = 24) -> GRU:
-    """Fit the network on whole training texts, chosen by a hash of doc_id.
+def train(docs: DataFrame, counts: DataFrame, ends: int) -> GRU:
+    """Fit the network on the whole texts of all docs, each row once.
 
-    A warm start on about ``warm`` documents, then one round of local training on one document in ``part`` of the
-    corpus in ``shards`` tasks, whose weights are averaged; the second part grows with the corpus.
+    A hash of doc_id deals the rows to ROUNDS of growing size. In a round each input partition trains a copy of
+    the network on its rows; the copies are averaged by the ids they learned from and start the next round.
+    Texts do not shuffle; a round writes one set of weights (0.6 MB) for each partition, read one at a time.
     """
     spark = ready(docs.sparkSession)
     head = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
@@ -221,39 +232,46 @@ def train(docs: DataFrame, counts: DataFrame, ends: int, warm: int = 800, part:
     model = GRU(words, n, ends, total - int(n.sum()))
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
 
-    def fitted(rows: DataFrame, tasks: int, rate: float) -> None:
+    def fitted(rows: DataFrame, lanes: int, rate: float) -> int:
         shared = spark.sparkContext.broadcast(model)
 
+        @trimmed
         def run(batches):
-            m = GRU(shared.value.words, n, ends, shared.value.rare_count, {k: v.copy() for k, v in shared.value.p.items()})
+            m = GRU(words[:0], n, ends, shared.value.rare_count, {k: v.copy() for k, v in shared.value.p.items()})
             m.words, m.ids = shared.value.words, shared.value.ids
-            done = 0
+            done, rest, state = 0, np.array([m.end]), {}
             for batch in batches:
                 for b in slices(batch, "text"):
                     h, wo = word_hashes(*utf8(b.column(0)))
                     ids = np.insert(m.lookup(h), wo[1:], m.end)
-                    m.fit(np.concatenate([[m.end], ids]), rate=rate)
+                    rest = m.fit(np.concatenate([rest, ids]), lanes, rate=rate, state=state)
                     done += len(ids)
+            for few in (8, 1):  # what fills no lanes
+                rest = m.fit(rest, few, rate=rate, state=state)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([save(m.p)], pa.binary())], ["n", "p"])
 
         held, weight = None, 0
-        for r in rows.select("text").repartition(tasks).mapInArrow(run, "n long, p binary").toLocalIterator():
+        # written first: an iterator over the plan itself would train one partition after the other
+        for r in materialize(rows.select("text").mapInArrow(run, "n long, p binary"), "weights").toLocalIterator():
             new = load(r["p"])
             held = {k: v * r["n"] + (held[k] if held else 0) for k, v in new.items()}
             weight += r["n"]
         if held:
             model.p = {k: (v / weight).astype(np.float32) for k, v in held.items()}
+        return weight
 
-    fitted(docs.filter(hashed < int((1 << 30) * min(1.0, warm / max(1, ends)))), 1, 0.01)
-    fitted(docs.filter(hashed >= (1 << 30) - (1 << 30) // part), shards, 0.003)
+    model.learned, below = 0, 0
+    for top, lanes, rate in ROUNDS:
+        model.learned += fitted(docs.filter((hashed >= below) & (hashed < top)), lanes, rate)
+        below = top
     return model
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trains on rows whose crc32(doc_id) mod 7 is not 2 (rows without doc_id train nothing). Null and empty texts
+    Counts and network learn from all rows whose crc32(doc_id) mod 7 is not 2 (rows without doc_id train nothing). Null and empty texts
     have one token, the end. With no training row every count is zero. Each repeated row is scored; an empty
     table gives no rows; other columns are ignored.
     """

@@ -256,6 +256,26 @@ def test_lm_scores(docs, nothing):
     assert rows_of(gru.lm_scores(nothing)) == []
 
 
+def test_network_learns_from_every_training_row(spark, monkeypatch):
+    data = [(i, " ".join(f"w{i % 5}" for _ in range(i % 40))) for i in range(4000)]
+    df = spark.createDataFrame([*data, data[7], (5000, None)], "doc_id long, text string").repartition(3)
+    counts = gru.count_words(df).cache()
+    want = sum(len(words(r["text"])) + 1 for r in rows_of(df))
+    assert gru.train(df, counts, df.count()).learned == want
+    monkeypatch.setattr(gru, "ROUNDS", ((1 << 30, 64, 0.01),))
+    assert gru.train(df, counts, df.count()).learned == want
+
+
+def test_fit_leaves_no_id_out():
+    m = gru.GRU(np.arange(9, dtype=np.uint64), np.full(9, 3), 1, 1)
+    rest = np.arange(200) % 9
+    for lanes in (64, 8, 1):
+        kept = m.fit(rest, lanes)
+        assert len(rest) - len(kept) == (len(rest) - 1) // lanes * lanes
+        rest = kept
+    assert len(rest) == 1
+
+
 def test_gru_gradient_lowers_loss():
     rng = np.random.default_rng(2)
     ids = np.tile(rng.permutation(50), 400)
