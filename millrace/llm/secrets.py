@@ -5,7 +5,8 @@ A run of 20 or more characters of a text encoding is a candidate. Its encoding (
 then three tests ask whether its code values are uniform and independent: chi-squared over the alphabet, runs
 above and below the middle, serial correlation. Their sum of squares gives a p-value. In each band of encoding
 and length, a Benjamini-Hochberg step over all candidates of the table rejects those that are not random; what it
-cannot reject is reported. The shortest length reported depends on the encoding, since short runs tell too little.
+cannot reject is reported. Where a band still holds more survivors than its likely random ones explain, its
+threshold rises until few of them are false, HIGHEST at most. The shortest length reported depends on the encoding, since short runs tell too little.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 SHORTEST = {"hex": 24, "base32": 26, "base64": 20}
 _MARK, _OTHER = "￿", "￾"
 BINS = 128
+#: Of random strings of any encoding and length, so many have a p-value above 0.5, and 1 - SLOPE x t one above t <= 0.5 (by simulation).
+ABOVE_HALF, SLOPE = 0.63, 0.74
+#: The bin of the largest threshold (2 ** -3.5, about 0.09), which bounds the share of random strings that a band can lose.
+HIGHEST = 7
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -94,9 +99,11 @@ def _band(c: Column) -> Column:
     return F.concat_ws(":", c["enc"], F.floor(2 * F.log2(c["n"].cast("double"))).cast("string"))
 
 
-def _thresholds(found: DataFrame, rate: float) -> dict[str, float]:
-    """Per band the largest p-value that Benjamini-Hochberg rejects, from a histogram of half powers of two.
+def _thresholds(found: DataFrame, rate: float, false: float = 0.05) -> dict[str, float]:
+    """Per band the largest p-value that is rejected, from a histogram of half powers of two; no entry: none is.
 
+    At first that of Benjamini-Hochberg. It rises, to HIGHEST at most, while survivors outnumber the random strings
+    that the p-values above 0.5 stand for by more than ``false`` of them and two standard deviations.
     At most a few hundred bands of 128 bins reach the driver, at any input size.
     """
     each = found.select(F.explode("cands").alias("c")).select(_band(F.col("c")).alias("band"), F.least(F.lit(BINS - 1), F.floor(-2 * F.log2(F.greatest(F.lit(1e-18), F.col("c.p"))))).cast("int").alias("bin"))
@@ -105,11 +112,18 @@ def _thresholds(found: DataFrame, rate: float) -> dict[str, float]:
         held.setdefault(r["band"], {})[r["bin"]] = r["n"]
     out = {}
     for band, bins in held.items():
-        total, below = sum(bins.values()), 0
+        total, below, last = sum(bins.values()), 0, BINS
         for b in sorted(bins, reverse=True):
             below += bins[b]
-            if (edge := 2.0 ** (-b / 2)) <= rate * below / total:
-                out[band] = edge
+            if 2.0 ** (-b / 2) <= rate * below / total:
+                last = b
+        random = sum(n for b, n in bins.items() if b < 2) / ABOVE_HALF
+        for b in range(last, min(last, HIGHEST) - 1, -1):
+            last, above = b, sum(n for k, n in bins.items() if k < b)
+            if above - random * (1 - SLOPE * 2.0 ** (-b / 2)) <= false * above + 2 * above**0.5:
+                break
+        if last < BINS:
+            out[band] = 2.0 ** (-last / 2)
     return out
 
 
@@ -142,7 +156,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         least = F.create_map(*[F.lit(x) for pair in SHORTEST.items() for x in pair])
         edge = F.coalesce(limit[_band(c)], F.lit(0.0)) if limit is not None else F.lit(0.0)
         apart = ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return (c["p"] > F.greatest(edge, F.lit(rate))) & (c["n"] >= F.coalesce(least[c["enc"]], F.lit(1 << 30))) & apart
+        return (c["p"] > edge) & (c["n"] >= F.coalesce(least[c["enc"]], F.lit(1 << 30))) & apart
 
     return found.select("doc_id", "base", kind(F.filter("cands", reported), 3).alias("random"))
 

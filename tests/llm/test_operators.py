@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import col as pyspark_col
 
 from millrace.llm import decontam, exact, gru, langid, ngramjoin, packing, planes, secrets, substr, tokens, toxicity
 
@@ -218,6 +219,31 @@ def test_randomness_battery(spark):
     assert not any("random" in got[60 + i] for i in range(len(plain)))
 
 
+def test_a_bands_mix_decides_about_the_same_run(spark):
+    import random
+
+    rnd = random.Random(6)
+    key = lambda: "".join(rnd.choices(secrets.ALPHABETS["base64"], k=40))
+    p_of = lambda texts: [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.battery(pyspark_col("t")).alias("b")).select("b.p").collect()]
+    many = [key() for _ in range(3000)]
+    weak = next(t for t, p in zip(many, p_of(many), strict=True) if 0.002 < p < 0.006)
+    plain = ["AB" * 19 + str(i) for i in range(10, 99)]
+    for others, reported in ((many[:80], True), (plain, False)):
+        df = spark.createDataFrame(list(enumerate(f"see {t} here" for t in [weak, *(t for t in others if t != weak)])), "doc_id long, text string")
+        assert ("random" in {r["doc_id"]: r["spans"] for r in rows_of(secrets.secret_table(df))}[0]) is reported
+
+
+def test_false_survivors_move_a_bands_threshold(spark):
+    def edges(ps):
+        rows = [([("base64", 40, p)],) for p in ps]
+        return secrets._thresholds(spark.createDataFrame(rows, "cands array<struct<enc:string,n:long,p:double>>"), 0.01)
+
+    # random strings: 63 % of the p-values of this battery are above 0.5
+    even = [u / 0.74 if u < 0.37 else 0.5 + (u - 0.37) / 1.26 for u in ((i + 0.5) / 400 for i in range(400))]
+    assert edges(even) == {}
+    assert 0.02 <= edges(even[200:] + [0.02] * 2000)["base64:10"] < 0.1
+
+
 def test_languages(spark, docs, nothing):
     en = "the quick brown fox jumps over the lazy dog and then it runs through the green forest again"
     de = "der schnelle braune fuchs springt über den faulen hund und läuft dann durch den grünen wald"
