@@ -267,6 +267,16 @@ def test_toxicity(spark, docs, nothing):
     assert rows_of(toxicity.predict_toxicity(nothing, labels)) == []
 
 
+def test_outer_signs_and_double_letters_are_restored(spark):
+    rows = [(i, f"you are a {('idiot', 'good book', 'good friend', 'moron', 'good book', 'good friend')[i % 6]} number{i} indeed") for i in range(200)]
+    odd = ["what an !diot", "an *diot", "i d ! o t", "an idiott", "an idioot", "a mmoron", "a moronn."]
+    df = spark.createDataFrame(rows + [(900 + i, t) for i, t in enumerate(odd)] + [(950, "good book!"), (951, "a ! b * c"), (952, "! ! ! !")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in rows_of(toxicity.predict_toxicity(df, labels))}
+    assert [got[900 + i] for i in range(len(odd))] == [1] * len(odd)
+    assert got[950] == got[951] == got[952] == 0
+
+
 def test_lm_scores(docs, nothing):
     data = rows_of(docs)
     held = lambda d: d["doc_id"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 7 == 2
