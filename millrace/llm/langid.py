@@ -151,6 +151,12 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def rejected(docs: DataFrame, least_noise: float = 0.8) -> DataFrame:
-    """Ids (__gone) of texts without language: ``und``, or explained as noise for ``least_noise`` of their n-grams."""
-    found = identify(docs, train(docs.filter(fold(4) != 2)))
+    """Ids (__gone) of texts without language: ``und``, or explained as noise for ``least_noise`` of their n-grams.
+
+    Where no language can be learned (no label outside the held-out fold), only texts that are null or have no letter.
+    """
+    model = train(docs.filter(fold(4) != 2))
+    if model is None:
+        return docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("__gone"))
+    found = identify(docs, model)
     return found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("noise") >= least_noise)).select(F.col("doc_id").alias("__gone"))

@@ -256,6 +256,12 @@ def test_languages(spark, docs, nothing):
     assert len(rows_of(langid.predict_languages(docs))) == docs.count() and rows_of(langid.predict_languages(nothing)) == []
 
 
+def test_without_labels_only_letterless_texts_go(spark):
+    rows = [(1, "clean words here", None), (2, None, None), (3, "", None), (4, "12 !!", None), (5, "中文", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["__gone"] for r in rows_of(langid.rejected(df))) == [2, 3, 4]
+
+
 def test_toxicity(spark, docs, nothing):
     rows = [(i, f"you are a {'idiot' if i % 3 == 0 else 'friend'} number{i} indeed") for i in range(200)] + [(900, "what an 1d10t"), (901, "i d i o t"), (902, None), (903, "good friend")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
