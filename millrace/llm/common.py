@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 #: White space of every contract here: space and the control characters 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
 _scratch: dict[str, list[str]] = {}
+_local: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -43,21 +45,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh path in the shared folder that spark.checkpoint.dir names.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder of this machine is used.
-    release() deletes it unless ``keep``.
+    Only on one machine (master local) a temporary folder stands in for a missing setting; a cluster needs it.
+    release() deletes the path unless ``keep``; what is left goes when the JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        base = f"file://{_local[app]}"
     path = f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    p, fs = _file(spark, path)
+    fs.deleteOnExit(p)
     if not keep:
         _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -72,10 +89,25 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far; frames that still read them must have been written."""
-    jvm = spark.sparkContext._jvm
     for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has (in any case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str):
+    """A column by its exact name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def fold(mod: int):
@@ -147,13 +179,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Bits:
-    """A Bloom filter of at most 2**26 bits (8 MB), whatever the input.
+    """A Bloom filter of at most 2**28 bits (32 MB a plane), whatever the input.
 
     Beyond the size it was planned for only its false positives grow, never false negatives.
     Two planes: a slot hit at least once, and hit at least twice.
     """
 
-    HASHES, CHUNK, MOST = 3, 1 << 16, 1 << 26
+    HASHES, CHUNK, MOST = 3, 1 << 16, 1 << 28
 
     def __init__(self, keys: int, planes: int = 1) -> None:
         self.size = min(self.MOST, max(self.CHUNK, 1 << int(np.ceil(np.log2(max(1, keys) * 16)))))
@@ -170,46 +202,53 @@ class Bits:
         return ((self.bits[plane][s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool).all(0)
 
     def build(self, df: DataFrame, column: str) -> "Bits":
-        """Fill it from a 64-bit column: partial filters of tasks are merged chunk by chunk on the executors."""
-        size, slots, chunk, planes = self.size, self.slots, self.CHUNK, self.planes
+        """Fill it from a 64-bit column: tasks send the slots they hit, which are counted chunk by chunk on the executors."""
+        slots, chunk, planes = self.slots, self.CHUNK, self.planes
+
+        def hit(keys):
+            """(chunk, slots hit there), a slot that several keys hit twice."""
+            found = []
+            for s in slots(np.concatenate(keys)):
+                u, n = np.unique(s, return_counts=True)
+                found += [u, u[n > 1]]
+            s = np.sort(np.concatenate(found))
+            cuts = np.flatnonzero(np.diff(s // chunk, prepend=-1))
+            blobs = [zlib.compress(x.astype("<u2").tobytes(), 1) for x in np.split(s % chunk, cuts[1:])] if len(s) else []
+            return pa.RecordBatch.from_arrays([pa.array(s[cuts] // chunk, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
 
         @trimmed
         def partial(batches):
-            count = np.zeros(size, np.uint8)
+            held = [np.zeros(0, np.int64)]
             for b in batches:
-                s = slots(np.asarray(b.column(0).drop_null(), np.int64))
-                for k in s:
-                    u, n = np.unique(k, return_counts=True)
-                    count[u] = np.minimum(2, count[u] + np.minimum(n, 2).astype(np.uint8))
-            rows = []
-            for c in range(0, size, chunk):
-                if (part := count[c : c + chunk]).any():
-                    rows.append((c // chunk, zlib.compress(part.tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+                held.append(np.asarray(b.column(0).drop_null(), np.int64))
+                if sum(map(len, held)) > 1 << 20:
+                    yield hit(held)
+                    held = [np.zeros(0, np.int64)]
+            yield hit(held)
 
         @trimmed
         def merge(batches):
             held: dict[int, np.ndarray] = {}
             for b in batches:
                 for c, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    part = np.frombuffer(zlib.decompress(z), np.uint8)
+                    part = np.bincount(np.frombuffer(zlib.decompress(z), "<u2"), minlength=chunk).clip(0, 2).astype(np.uint8)
                     held[c] = np.minimum(2, held[c] + part) if c in held else part
             packed = [b"".join(np.packbits(held[c] > p, bitorder="little").tobytes() for p in range(planes)) for c in held]
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
         ready(df.sparkSession)
-        chunks = size // chunk
+        chunks = self.size // chunk
         parts = df.select(F.col(column).cast("long").alias("h")).mapInArrow(partial, "chunk long, counts binary")
-        parts = parts.repartition(min(chunks, 64), "chunk").mapInArrow(merge, "chunk long, counts binary")
-        self.bits = np.zeros((planes, size // 8), np.uint8)
-        for r in parts.collect():  # at most 1,024 chunks, 8 MB a plane, in one job (an iterator takes a job for each partition)
+        parts = parts.repartition(min(chunks, 256), "chunk").mapInArrow(merge, "chunk long, counts binary")
+        self.bits = np.zeros((planes, self.size // 8), np.uint8)
+        for r in parts.collect():  # at most 4,096 chunks, 32 MB a plane, in one job (an iterator takes a job for each partition)
             both = np.frombuffer(r["counts"], np.uint8).reshape(planes, -1)
             self.bits[:, r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = both
         return self
 
 
 def holder(df: DataFrame, column: str, rows: int | None = None):
-    """A broadcast Bloom filter (8 MB at most) of a column's xxhash64 values."""
+    """A broadcast Bloom filter (32 MB at most) of a column's xxhash64 values."""
     h = df.select(F.xxhash64(F.col(column)).alias("h"))
     return df.sparkSession.sparkContext.broadcast(Bits(df.count() if rows is None else rows).build(h, "h"))
 
@@ -235,15 +274,26 @@ def held_texts(batch: pa.RecordBatch, bits) -> Iterator[pa.RecordBatch]:
         keep = keep.slice(len(b))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone.__gone, all columns kept.
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs whose text passes ``keep`` (texts -> booleans), each by itself, all columns kept; nothing shuffles."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever signs the names have
 
-    Rows that a Bloom filter of those ids clears pass straight through; only the others shuffle.
-    """
-    gone = materialize(gone.distinct(), "gone")
-    tested = docs.withColumn("__may", may_hold(holder(gone, "__gone"))(F.col("doc_id").cast("long")))
-    rest = tested.filter("__may").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return tested.filter("not __may").unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, f"c{at}"):
+                yield b.filter(pa.array(keep(b.column(at)), pa.bool_()))
+
+    ready(docs.sparkSession)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def one_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """Of the rows of a key the one that comes first by ``order``, without the key; combined before the shuffle."""
+    every = F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(rows.columns) if c != key])
+    names = [c for c in rows.columns if c != key]
+    one = rows.groupBy(named(key)).agg(F.min_by(every, F.struct(*order)).alias("one"))
+    return one.select(*[F.col(f"one.c{k + (k >= rows.columns.index(key))}").alias(c) for k, c in enumerate(names)])
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -4,28 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WS, Bits, attach, materialize, ready, without
+from millrace.llm.common import WS, Bits, attach, fresh, holder, materialize, may_hold, named, one_of_each, ready, scratch_path
+
+#: Rows that one filter is built for, 16 bits each; more rows go in rounds of hash ranges, a filter each.
+ROUND = 1 << 24
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WS, " "), 256)
 
 
 def flagged(digests: DataFrame, rows: int) -> DataFrame:
     """(doc_id, sha) with ``maybe``: whether the hash may occur more than once.
 
-    Pass one counts hash slots, saturating at two; pass two tests each row. The filter has 16 bits a row up
-    to 8 MB, so it may be broadcast at any input size; when it fills up, more rows count as possible repeats.
+    Pass one counts hash slots, saturating at two; pass two tests each row. A filter has 16 bits a row. More than
+    ROUND rows go in rounds, each with the filter of its range of hashes, so a broadcast is bounded at any input
+    size; ``digests`` lies sorted by hash within its files, so a round reads its own part of them.
     """
     spark = ready(digests.sparkSession)
-    bits = Bits(rows, planes=2).build(digests.select(F.xxhash64("sha").alias("h")), "h")
-    shared = spark.sparkContext.broadcast(bits)
+    rounds = max(1, -(-rows // ROUND))
+    path = scratch_path(spark, "marked")
+    for k in range(rounds):
+        own = digests
+        if rounds > 1:
+            low, high = (-(1 << 63) + (j << 64) // rounds for j in (k, k + 1))
+            own = own.filter((F.col("h") >= low) & (F.col("h") <= high - 1))
+        shared = spark.sparkContext.broadcast(Bits(min(rows, ROUND), planes=2).build(own.select("h"), "h"))
+
+        def test(batches, shared=shared):
+            for b in batches:
+                hit = shared.value.test(np.asarray(b.column(2), np.int64), 1) if len(b) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit)], ["doc_id", "sha", "maybe"])
+
+        own.select("doc_id", "sha", "h").mapInArrow(test, "doc_id long, sha string, maybe boolean").write.parquet(f"{path}/round={k}")
+        shared.unpersist()
+    return spark.read.schema("doc_id long, sha string, maybe boolean, round int").parquet(path).drop("round")
 
-    def test(batches):
-        for b in batches:
-            hit = shared.value.test(np.asarray(b.column(2), np.int64), 1) if len(b) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit)], ["doc_id", "sha", "maybe"])
 
-    return digests.select("doc_id", "sha", F.xxhash64("sha").alias("h")).mapInArrow(test, "doc_id long, sha string, maybe boolean")
+def _digests(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written (doc_id, sha, h) of all rows, and their number."""
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha")).withColumn("h", F.xxhash64("sha"))
+    out = materialize(each.sortWithinPartitions("h"), "digest")
+    return out, out.count()
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -36,10 +59,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     a group has no other). An empty table gives no rows; columns other than doc_id and text are not read.
     Only rows whose hash may repeat shuffle, without their text.
     """
-    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WS, " ")
-    digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm, 256).alias("sha")), "digest")
-    rows = digests.count()
-    marked = materialize(flagged(digests, rows), "marked")
+    digests, rows = _digests(docs)
+    marked = flagged(digests, rows)
     alone = marked.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     some = marked.filter("maybe").select("doc_id", "sha")
     groups = some.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -48,8 +69,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat an earlier one, all columns kept.
+    """One row of each group of equal texts (as in exact_groups), all columns kept whatever their names.
 
-    Rows that cannot repeat pass straight through; the text of the others is joined with their decisions.
+    The row with the smallest doc_id stays, of ties the one whose text as it stands sorts first; rows without doc_id
+    come last. A row with a text of its own stays, whether its doc_id is null or repeated. An empty table stays empty.
+    Rows that the filter clears pass straight through; equal ones among the others are combined before they shuffle.
     """
-    return without(docs, exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
+    digests, rows = _digests(docs)
+    marked = flagged(digests, rows)
+    # the hashes that do occur more than once: few against the rows, and known by a filter of their own
+    again = materialize(marked.filter("maybe").groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha"), "again")
+    sha, may = fresh(docs, "sha", "may")
+    rows = docs.withColumn(sha, digest(F.col("text"))).withColumn(may, may_hold(holder(again, "sha"))(F.col(sha)))
+    id_ = F.col("doc_id").cast("long")
+    some = one_of_each(rows.filter(F.col(may)).drop(may), sha, [id_.isNull(), id_, F.coalesce("text", F.lit(""))])
+    return rows.filter(~F.col(may)).select(*map(named, docs.columns)).unionByName(some)

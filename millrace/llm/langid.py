@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, ready, slices, utf8
+from millrace.llm.common import fold, kept_rows, ready, slices, utf8
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -121,6 +121,16 @@ def train(docs: DataFrame, per_language: int = 2000) -> Mixture | None:
 RESULT = "doc_id long, lang_pred string, score double, noise double, languages array<struct<lang:string,share:double>>"
 
 
+def inferred(m: Mixture | None, texts: pa.Array) -> list[tuple[str, float, list[tuple[str, float]], float]]:
+    """Main language, score, proportions and share of noise of each text."""
+    buf, off = utf8(texts)
+    out = []
+    for t, a, z in zip(texts.to_pylist(), off[:-1], off[1:], strict=True):
+        g = grams(buf[a:z]) if m and t and any(map(str.isalpha, t)) else ()
+        out.append(m.infer(g) if len(g) else (UNKNOWN, 0.0, [], 1.0))
+    return out
+
+
 def identify(docs: DataFrame, model: Mixture | None) -> DataFrame:
     """Per row of docs (doc_id, text): lang_pred, score, share of noise, languages with proportions.
 
@@ -130,14 +140,9 @@ def identify(docs: DataFrame, model: Mixture | None) -> DataFrame:
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for b in slices(batch, "text"):
-                buf, off = utf8(b.column(1))
-                out = []
-                for t, a, z in zip(b.column(1).to_pylist(), off[:-1], off[1:], strict=True):
-                    g = grams(buf[a:z]) if m and t and any(map(str.isalpha, t)) else ()
-                    out.append(m.infer(g) if len(g) else (UNKNOWN, 0.0, [], 1.0))
+                out = inferred(shared.value, b.column(1))
                 mix = pa.array([[{"lang": x, "share": s} for x, s in o[2]] for o in out], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], kind) for k, kind in ((0, pa.string()), (1, pa.float64()), (3, pa.float64()))), mix], ["doc_id", "lang_pred", "score", "noise", "languages"])
 
@@ -145,18 +150,22 @@ def identify(docs: DataFrame, model: Mixture | None) -> DataFrame:
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """Learn from rows outside fold 2 of 4 and predict every row."""
+    """Learn from rows outside fold 2 of 4 (by doc_id) with a text, a language and an id, and predict every row.
+
+    Rows without doc_id are held out of nothing and teach nothing; nulls, repeats and empty tables as in identify().
+    """
     model = train(docs.filter(fold(4) != 2))
     return identify(docs, model).select("doc_id", (F.coalesce(fold(4), F.lit(-1)) == 2).alias("held_out"), "lang_pred", "score", "noise", "languages")
 
 
-def rejected(docs: DataFrame, least_noise: float = 0.8) -> DataFrame:
-    """Ids (__gone) of texts without language: ``und``, or explained as noise for ``least_noise`` of their n-grams.
+def with_language(docs: DataFrame, least_noise: float = 0.8) -> DataFrame:
+    """docs without the texts that have no language: ``und``, or explained as noise for ``least_noise`` of their n-grams.
 
-    Where no language can be learned (no label outside the held-out fold), only texts that are null or have no letter.
+    Each row is judged by its own text, whatever its doc_id; all columns stay. Where no language can be learned (no
+    label outside the held-out fold, an empty table), only texts that are null or have no letter go.
     """
     model = train(docs.filter(fold(4) != 2))
     if model is None:
-        return docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("__gone"))
-    found = identify(docs, model)
-    return found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("noise") >= least_noise)).select(F.col("doc_id").alias("__gone"))
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    shared = ready(docs.sparkSession).sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: np.array([x[0] != UNKNOWN and x[3] < least_noise for x in inferred(shared.value, texts)], bool))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Bits, attach, held_texts, holder, materialize, mix, ready, slices, trimmed, utf8
+from millrace.llm.common import Bits, attach, fresh, held_texts, holder, materialize, may_hold, mix, named, one_of_each, ready, slices, trimmed, utf8
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
 WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
@@ -92,7 +92,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def frequent(parts: DataFrame):
-    """A broadcast filter (8 MB at most) of the tokens that FREQUENT texts or more have.
+    """A broadcast filter (32 MB at most) of the tokens that FREQUENT texts or more have.
 
     Tokens that it takes for frequent by mistake only come later in the order, for all texts alike.
     """
@@ -323,3 +323,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     out = out.select("doc_id", "n", "component_id").unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     back = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     return out.select(back("doc_id"), F.col("n").alias("n_shingles"), back("component_id"))
+
+
+def drop_near(docs: DataFrame) -> DataFrame:
+    """One row of each group of near_groups(), all columns kept: that of the smallest doc_id, null ids last.
+
+    Rows are told apart by doc_id and text, so null and repeated ids are no matter; of rows equal in both (and with a
+    word) one stays. Texts without words all stay. An empty table stays empty.
+    Only rows of groups of two or more shuffle with their text, equal ones combined before.
+    """
+    spark = ready(docs.sparkSession)
+    node, same, may = fresh(docs, "node", "same", "may")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    near = materialize(near_groups(docs.select(key.alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("part")), "near")
+    several = near.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    nodes = near.distinct()
+    members = materialize(attach(nodes, several, ["part"], "n", near.count()).select("node", "part").distinct(), "members")
+    rows = docs.withColumn(node, key)
+    rows = rows.withColumn(may, may_hold(holder(members, "node"))(F.col(node)) & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    id_ = F.col("doc_id").cast("long")
+    keys = rows.filter(F.col(may)).select(F.col(node).alias("node"), id_.alias("id")).distinct().join(members, "node")
+    first = keys.groupBy("part").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    stay = first.select(F.col("first.node").alias("node"))
+    gone = materialize(members.join(stay, "node", "left_anti").select("node"), "gone")
+    some = one_of_each(rows.filter(F.col(may)).drop(may).withColumn(same, F.col(node)), same, [F.lit(0)])
+    some = some.join(gone.toDF(same), F.col(node) == F.col(same), "left_anti")
+    every = list(map(named, docs.columns))
+    return rows.filter(~F.col(may)).select(*every).unionByName(some.select(*every))
