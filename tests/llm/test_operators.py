@@ -299,13 +299,80 @@ def test_lm_scores(docs, nothing):
 
 
 def test_network_learns_from_every_training_row(spark, monkeypatch):
+    monkeypatch.setattr(gru, "BLOCK", 1 << 12)
     data = [(i, " ".join(f"w{i % 5}" for _ in range(i % 40))) for i in range(4000)]
-    df = spark.createDataFrame([*data, data[7], (5000, None)], "doc_id long, text string").repartition(3)
-    counts = gru.count_words(df).cache()
-    want = sum(len(words(r["text"])) + 1 for r in rows_of(df))
-    assert gru.train(df, counts, df.count()).learned == want
-    monkeypatch.setattr(gru, "ROUNDS", ((1 << 30, 64, 0.01),))
-    assert gru.train(df, counts, df.count()).learned == want
+    df = spark.createDataFrame([*data, data[7], (5000, None), (None, "not learned")], "doc_id long, text string").repartition(3)
+    want = sum(len(words(r["text"])) + 1 for r in rows_of(df) if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2)
+    blocks = gru.blocks_of(df).cache()
+    for rounds in (gru.ROUNDS, ((1 << 30, 64, 0.01),)):
+        monkeypatch.setattr(gru, "ROUNDS", rounds)
+        model = gru.GRU(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1)
+        gru.train(blocks, model)
+        assert model.learned == want
+
+
+def test_weights_are_averaged_by_what_they_learned_from(spark):
+    rows = [(c, p, p + 1, (np.arange(3.0) + c + p).tobytes()) for c in range(2) for p in range(5)]
+    weights = spark.createDataFrame([(c, p, n, bytearray(np.frombuffer(v) * n)) for c, p, n, v in rows], "chunk long, grp long, n long, v binary")
+    n, got = gru.averaged(weights, 5)
+    want = [sum((i + c + p) * (p + 1) for p in range(5)) / 15 for c in range(2) for i in range(3)]
+    assert n == 15 and np.allclose(got, want)
+
+
+def test_scores_equal_a_plain_forward_pass():
+    """One word at a time, in double precision, straight from the definition of the unit and of the factored softmax."""
+    rng = np.random.default_rng(8)
+    m = gru.GRU(np.arange(300, dtype=np.uint64), rng.integers(1, 50, 300), 7, 90)
+    m.flat += rng.standard_normal(m.SIZE).astype(np.float32) * 0.3
+    p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    sizes = [0, 5, 41, 1, 17]
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    ids = rng.integers(0, 300, off[-1])
+    ids[::7] = m.rare
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    want, w = [], gru.WIDTH
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        h, before, total = np.zeros(w), m.end, 0.0
+        for y in [*ids[a:b].tolist(), m.end]:
+            x, hu = p["emb"][before] @ p["wx"] + p["b"], h @ p["u"]
+            z, r = sigmoid(x[:w] + hu[:w]), sigmoid(x[w : 2 * w] + hu[w : 2 * w])
+            new = np.tanh(x[2 * w :] + r * hu[2 * w :])
+            h = (1 - z) * new + z * h
+            classes = np.exp(h @ p["wc"] + p["bc"])
+            total += np.log(classes[y // gru.PER_CLASS] / classes.sum())
+            if y != m.rare:
+                inside = np.exp(h @ p["ww"][y // gru.PER_CLASS] + p["bw"][y // gru.PER_CLASS])
+                total += np.log(inside[y % gru.PER_CLASS] / inside.sum())
+            before = y
+        want.append(total)
+    assert np.allclose(m.score(ids, off), want, rtol=1e-4)
+    assert np.allclose(m.score(ids, off, lanes=2, window=3), want, rtol=1e-4)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(9)
+    m = gru.GRU(np.arange(200, dtype=np.uint64), rng.integers(1, 50, 200), 7, 90)
+    m.flat = (m.flat + rng.standard_normal(m.SIZE).astype(np.float32) * 0.2).astype(np.float32)
+    y = np.concatenate([rng.integers(0, 200, 60), [m.rare, m.end]])
+    h = rng.standard_normal((len(y), gru.WIDTH)).astype(np.float32)
+    grads = np.zeros(m.SIZE, np.float32)
+    _, dh = m.output(h, y, gru.GRU.views(grads))
+    loss = lambda: -m.output(h.astype(np.float64), y)[0].sum()
+    for k in ("wc", "bc", "ww", "bw"):
+        v, g = m.p[k].ravel(), gru.GRU.views(grads)[k].ravel()
+        i = int(np.abs(g).argmax())
+        old = v[i]
+        v[i] = old + 1e-2
+        up = loss()
+        v[i] = old - 1e-2
+        assert np.isclose((up - loss()) / 2e-2, g[i], rtol=2e-2), k
+        v[i] = old
+    i = np.unravel_index(int(np.abs(dh).argmax()), dh.shape)
+    old = h[i]
+    h[i] = old + 1e-2
+    up = loss()
+    h[i] = old - 1e-2
+    assert np.isclose((up - loss()) / 2e-2, dh[i], rtol=2e-2)
 
 
 def test_fit_leaves_no_id_out():
