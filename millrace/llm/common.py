@@ -253,14 +253,19 @@ def holder(df: DataFrame, column: str, rows: int | None = None):
     return df.sparkSession.sparkContext.broadcast(Bits(df.count() if rows is None else rows).build(h, "h"))
 
 
-def may_hold(bits):
-    """A function of a long column: whether the filter may hold its xxhash64."""
+def may_hold_raw(bits):
+    """A function of a long column: whether the filter may hold the value itself."""
 
     @F.pandas_udf("boolean")
     def test(h):
         return h.__class__(bits.value.test(h.to_numpy(np.int64)) if len(h) else [], dtype=bool)
 
-    return lambda c: test(F.xxhash64(c))
+    return test
+
+
+def may_hold(bits):
+    """A function of a column: whether the filter may hold its xxhash64."""
+    return lambda c: may_hold_raw(bits)(F.xxhash64(c))
 
 
 def held_texts(batch: pa.RecordBatch, bits) -> Iterator[pa.RecordBatch]:

@@ -173,9 +173,15 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 130))
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_substrings(spark, docs, nothing, monkeypatch, most):
-    monkeypatch.setattr(substr, "MOST", most)
+@pytest.mark.parametrize("crowd", [3000, 1])
+def test_substrings(spark, docs, nothing, monkeypatch, crowd):
+    """Also with a passage that many texts share, each in other surroundings, at their ends or alike for part of the way."""
+    monkeypatch.setattr(substr, "CROWD", crowd)
+    rnd = np.random.default_rng(5)
+    noise = lambda n: "".join(map(chr, rnd.integers(97, 123, n)))
+    passage, near = noise(600), noise(250)
+    crowded = [noise(int(rnd.integers(0, 300))) + (near if i % 3 else near[100:]) + passage[: 600 - i % 2 * 90] + noise(int(rnd.integers(0, 300))) for i in range(25)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(crowded)], "doc_id long, text string"))
     data = rows_of(docs)
     count = Counter()
     for d in data:
