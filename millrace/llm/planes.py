@@ -2,7 +2,8 @@
 
 A shard is one blob: the header ``MRP1``, the plane kind, the ids in a block; a table of blocks (ids, planes,
 compressed size of each plane); a compressed table of documents (doc_id, ids); then the planes of each block.
-Shards are rows of a Parquet folder ordered by (part, seq), so Spark commits and reads them on any store.
+Shards are rows of a Parquet folder ordered by (part, seq), so Spark commits and reads them on any store; ``first``
+counts the ids of the part before a shard.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from millrace.llm.tokens import default_vocabulary, encoder
 
 MAGIC = b"MRP1"
 _HEAD = struct.Struct("<4sBIIIQ")
-SHARD = "part int, seq int, n_docs long, n_ids long, blob binary"
+SHARD = "part int, seq int, first long, n_docs long, n_ids long, blob binary"
 
 
 def split_planes(ids: np.ndarray, kind: str) -> list[np.ndarray]:
@@ -106,20 +107,21 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def shards(batches):
-        part, seq, held = TaskContext.get().partitionId(), 0, [empty]
+        part, seq, first, held = TaskContext.get().partitionId(), 0, 0, [empty]
         enc = encoder(vocabulary)
 
         def flush():
             d, n, i = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(d)], "n_ids": [len(i)], "blob": pa.array([pack_shard(d, n, i, kind)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": [first], "n_docs": [len(d)], "n_ids": [len(i)], "blob": pa.array([pack_shard(d, n, i, kind)], pa.binary())})
 
         for batch in batches:
             for b in slices(batch, "text"):
                 ids, off, _ = enc.encode(b.column(1))
                 held.append((np.asarray(b.column(0)), np.diff(off) + 1, np.insert(ids, off[1:], np.uint32(end_id))))
-                if sum(len(h[2]) for h in held) >= shard_ids:
+                size = sum(len(h[2]) for h in held)
+                if size >= shard_ids:
                     yield flush()
-                    held, seq = [empty], seq + 1
+                    held, seq, first = [empty], seq + 1, first + size
         if len(held) > 1:
             yield flush()
 
@@ -129,30 +131,34 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the shards at ``path``: doc_id, start, n_tokens, ids_crc32, n_docs before it not counted.
+    """Per document of the shards at ``path``: doc_id, start, n_tokens, ids_crc32.
 
-    The start of each shard (16 bytes a shard of up to 4 million ids) goes through the driver.
+    One number for each task that wrote shards goes through the driver, 8 bytes each, however many shards it wrote.
     """
     ready(spark)
     table = spark.read.schema(SHARD).parquet(path)
-    starts, total = {}, 0
-    for r in table.select("part", "seq", "n_ids").orderBy("part", "seq").toLocalIterator():
-        starts[r["part"], r["seq"]], total = total, total + r["n_ids"]
-    base = spark.sparkContext.broadcast(starts)
+    sizes = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.sum("n_ids").alias("n")).toLocalIterator()}
+    starts = np.zeros(max(sizes, default=-1) + 2, np.int64)
+    starts[[p + 1 for p in sizes]] = list(sizes.values())
+    base = spark.sparkContext.broadcast(np.cumsum(starts))
 
     def decode(batches):
         for b in batches:
-            for part, seq, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for part, first, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 doc, n = shard_documents(blob)
                 raw = memoryview(read_shard(blob).astype("<u4").tobytes())
                 end = np.cumsum(n)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(end.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(base.value[part, seq] + end - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(base.value[part] + first + end - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return table.select("part", "seq", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.select("part", "first", "blob").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None, path: str | None = None) -> DataFrame:
+    """Write docs as shards (to a scratch folder unless ``path`` is given) and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Nulls, ties, repeated rows and empty tables as in write_token_shards(); a null doc_id comes back as -1.
+    """
     path = path or scratch_path(docs.sparkSession, "shards")
     write_token_shards(docs, path, vocabulary)
     return read_token_shards(docs.sparkSession, path)
