@@ -2,11 +2,12 @@
 
 A run of 20 or more characters of a text encoding is a candidate. Its encoding (hex, base32, base64) is inferred
 (digits alone, or letters of one case, are none),
-then three tests ask whether its code values are uniform and independent: chi-squared over the alphabet, runs
+then three tests ask whether its code values are uniform and independent: chi-squared over the alphabet (over cells
+of it where a run is too short for its signs), runs
 above and below the middle, serial correlation. Their sum of squares gives a p-value. In each band of encoding
 and length, a Benjamini-Hochberg step over all candidates of the table rejects those that are not random; what it
 cannot reject is reported. Where a band still holds more survivors than its likely random ones explain, its
-threshold rises until few of them are false, HIGHEST at most. The shortest length reported depends on the encoding, since short runs tell too little.
+threshold rises until few of them are false, and if HIGHEST does not do, the band reports none. The shortest length reported depends on the encoding, since short runs tell too little.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ KINDS = ("assign", "access", "hex", "random")
 #: Alphabets of the encodings, in the order of their code values (fixed values).
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 SHORTEST = {"hex": 24, "base32": 26, "base64": 20}
+#: Parts of a text that are walked at once (even).
+STRETCH = 256
+#: Cells of the base64 alphabet for short runs: capitals, frequent and other small letters, digits, signs (their sizes in order).
+CELLS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "etaoinsr", "bcdfghjklmpquvwxyz", "0123456789", "+/")
 _MARK, _OTHER = "￿", "￾"
 BINS = 128
 #: Of random strings of any encoding and length, so many have a p-value above 0.5, and 1 - SLOPE x t one above t <= 0.5 (by simulation).
 ABOVE_HALF, SLOPE = 0.63, 0.74
-#: The bin of the largest threshold (2 ** -3.5, about 0.09), which bounds the share of random strings that a band can lose.
+#: The bin of the largest threshold (2 ** -3.5, about 0.09) of a band that still reports.
 HIGHEST = 7
 
 
@@ -38,16 +43,33 @@ def marked(text: Column, pattern: str) -> Column:
 
 
 def located(parts: Column) -> Column:
-    """The matches among marked parts, in order: array of (s, e, x), in code points."""
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,x:string>>)")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), none.alias("out"))
+    """The matches among marked parts, in order: array of (s, e, x), in code points.
+
+    Parts are walked in stretches of STRETCH, each with places of its own, so that work grows with their number alone.
+    """
+    kind = "cast(array() as array<struct<s:bigint,e:bigint,x:string>>)"
+    none, zero = F.expr(kind), F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
         more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), end.alias("e"), x.alias("x"))))
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], more).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def walk(some: Column) -> Column:
+        return F.aggregate(some, F.struct(zero.alias("at"), F.lit(False).alias("hit"), none.alias("out")), step)
+
+    def place(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["begin"], F.array(acc["at"])).alias("begin"))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STRETCH).cast("int"))
+    walked = F.transform(cuts, lambda k: walk(F.slice(parts, k * STRETCH + 1, F.lit(STRETCH))))  # STRETCH is even: each begins outside a match
+    long = F.transform(F.array(walked), lambda w: F.flatten(F.transform(F.arrays_zip(w.alias("w"), _begins(w, place, zero).alias("b")), lambda z: F.transform(z["w"]["out"], lambda m: F.struct((m["s"] + z["b"]).alias("s"), (m["e"] + z["b"]).alias("e"), m["x"].alias("x"))))))
+    return F.when(F.size(parts) <= 1, none).when(F.size(parts) <= STRETCH, walk(parts)["out"]).otherwise(F.coalesce(F.element_at(long, 1), none))
+
+
+def _begins(walked: Column, place, zero: Column) -> Column:
+    """Where each stretch begins."""
+    return F.aggregate(walked, F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("begin")), place)["begin"]
 
 
 def _tail(t: Column) -> Column:
@@ -75,8 +97,12 @@ def battery(run: Column) -> Column:
     n = F.length(s).cast("double")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
     df = k - 1
-    chi = F.greatest(F.lit(0.0), squares * k / n - n)
-    z1 = F.greatest(F.lit(0.0), (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    # a run too short for five of each of 64 signs has its signs counted by cells, which also tells words from keys
+    cells = sum((F.pow(n - F.length(F.translate(s, c, "")), F.lit(2.0)) * 64.0 / len(c) for c in CELLS), F.lit(0.0))
+    few = (k == 64) & (n < 320)
+    own = F.when(few, float(len(CELLS) - 1)).otherwise(df)
+    chi = F.greatest(F.lit(0.0), F.when(few, cells / n - n).otherwise(squares * k / n - n))
+    z1 = F.greatest(F.lit(0.0), (F.pow(chi / own, F.lit(1 / 3)) - (1 - 2 / (9 * own))) / F.sqrt(2 / (9 * own)))
     codes = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double") - 1)
     start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("prod"))
 
@@ -102,8 +128,9 @@ def _band(c: Column) -> Column:
 def _thresholds(found: DataFrame, rate: float, false: float = 0.05) -> dict[str, float]:
     """Per band the largest p-value that is rejected, from a histogram of half powers of two; no entry: none is.
 
-    At first that of Benjamini-Hochberg. It rises, to HIGHEST at most, while survivors outnumber the random strings
-    that the p-values above 0.5 stand for by more than ``false`` of them and two standard deviations.
+    At first that of Benjamini-Hochberg. It rises while survivors outnumber the random strings that the p-values above
+    0.5 stand for by more than ``false`` of them and two standard deviations. A band where that goes on beyond HIGHEST
+    has the threshold 1: so many of its strings only look random that none is reported.
     At most a few hundred bands of 128 bins reach the driver, at any input size.
     """
     each = found.select(F.explode("cands").alias("c")).select(_band(F.col("c")).alias("band"), F.least(F.lit(BINS - 1), F.floor(-2 * F.log2(F.greatest(F.lit(1e-18), F.col("c.p"))))).cast("int").alias("bin"))
@@ -122,6 +149,8 @@ def _thresholds(found: DataFrame, rate: float, false: float = 0.05) -> dict[str,
             last, above = b, sum(n for k, n in bins.items() if k < b)
             if above - random * (1 - SLOPE * 2.0 ** (-b / 2)) <= false * above + 2 * above**0.5:
                 break
+        else:
+            last = 0  # the band reports nothing
         if last < BINS:
             out[band] = 2.0 ** (-last / 2)
     return out
@@ -162,7 +191,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
 
 
 def secret_table(docs: DataFrame) -> DataFrame:
-    """The counts, the digest of base spans and the list of all spans of each row."""
+    """The counts, the digest of base spans and the list of all spans of each row; nulls, repeats and empty tables as in find_secrets()."""
     found = find_secrets(docs)
     names = F.array(*[F.lit(k) for k in KINDS])
 

@@ -202,17 +202,41 @@ def test_substrings(spark, docs, nothing, monkeypatch, crowd):
 
 
 def test_secrets(docs, nothing):
-    kinds = (re.compile(r"""(?:[Pp]assword|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("(AKIA[A-Z0-9]{16,})"), re.compile("([0-9a-f]{24,})"))
+    kinds = (re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("(AKIA[A-Z0-9]{16,})"), re.compile("([0-9a-f]{24,})"))
     data = rows_of(docs)
     want = []
     for d in data:
         spans = sorted((m.start(), k, m.end()) for k, p in enumerate(kinds) for m in p.finditer(d["text"] or "") if k or len(m[1]) >= 6)
-        want.append((d["doc_id"], hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()))
+        listed = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans]
+        want.append((d["doc_id"], *(sum(k == j for _, k, _ in spans) for j in range(3)), hashlib.sha256(",".join(listed).encode()).hexdigest(), listed))
     got = rows_of(secrets.secret_table(docs))
-    assert sorted(((r["doc_id"], r["base_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+    mine = [(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], [x for x in r["spans"].split(",") if x and not x.startswith("random")]) for r in got]
+    assert sorted(mine, key=repr) == sorted(want, key=repr)
     assert rows_of(secrets.secret_table(nothing)) == []
 
 
+def test_secrets_of_a_text_with_thousands(spark):
+    text = " ".join(f"Token = {'é' * (i % 3)}{i}abcdef AKIA{i:016d}" for i in range(3000)) + " PASSWORD:" + "x" * 50_000
+    pattern = re.compile(secrets.ASSIGN)
+    spans = sorted([(m.start(), 0, m.end()) for m in pattern.finditer(text) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text)])
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(secrets.secret_table(df))}
+    assert [x for x in got[1]["spans"].split(",") if not x.startswith("random")] == [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans]
+    assert got[2]["spans"] == "" and len(spans) > 4000
+
+
+def test_names_and_paths_are_no_secrets(spark):
+    import random
+
+    rnd = random.Random(11)
+    parts = "get set make find user account token value string buffer index parse read write handler request session cache message error config default retry count".split()
+    names = ["".join(w.capitalize() for w in rnd.choices(parts, k=5)) for _ in range(200)] + ["_".join(rnd.choices(parts, k=5)) for _ in range(100)] + ["/".join(rnd.choices(parts, k=5)) for _ in range(100)]
+    keys = ["".join(rnd.choices(secrets.ALPHABETS["base64"], k=24)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(f"see {t} here" for t in names + keys)), "doc_id long, text string")
+    found = {r["doc_id"] for r in rows_of(secrets.secret_table(df)) if "random" in r["spans"]}
+    assert sum(i in found for i in range(400)) <= 8 and sum(i in found for i in range(400, 700)) >= 285
+
+
 def test_randomness_battery(spark):
     import random
 
@@ -248,6 +272,7 @@ def test_false_survivors_move_a_bands_threshold(spark):
     even = [u / 0.74 if u < 0.37 else 0.5 + (u - 0.37) / 1.26 for u in ((i + 0.5) / 400 for i in range(400))]
     assert edges(even) == {}
     assert 0.02 <= edges(even[200:] + [0.02] * 2000)["base64:10"] < 0.1
+    assert edges(even + [0.3] * 2000)["base64:10"] == 1  # nothing tells these from keys
 
 
 def test_languages(spark, docs, nothing):
