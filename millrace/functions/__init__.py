@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
@@ -21,13 +22,36 @@ def _substr(s: str, start: str, size: str | None = None) -> str:
     return f"SUBSTRING({t}, CAST(GREATEST({first}, 1) AS INT), CAST(GREATEST({last} - GREATEST({first}, 1), 0) AS INT) + CAST(0 * {z} AS INT))"
 
 
+def _ranges(chars: str) -> str:
+    """A literal list of characters with its ranges (``a..z``) written out."""
+    if not re.fullmatch(r"'.*'", chars, re.S) or ".." not in chars:
+        return chars
+    return re.sub(r"([^\\'])\.\.([^\\'])", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))) if m[1] <= m[2] else m[0], chars)
+
+
 def _trim(side: str) -> Callable[..., str]:
     def one(s: str, chars: str = r"' \t\n\r\0\u000B'") -> str:
-        return f"TRIM({side} {chars} FROM {_text(s)})"
+        return f"TRIM({side} {_ranges(chars)} FROM {_text(s)})"
 
     return one
 
 
+def _place(h: str, n: str) -> str:
+    """The byte at which a text begins in another, from 1."""
+    at = f"INSTR({_text(h)}, {_text(n)})"
+    return f"CAST(IF({at} = 0, 0, OCTET_LENGTH(LEFT({_text(h)}, {at} - 1)) + 1) AS BIGINT)"
+
+
+def _round(x: str, d: str = "0") -> str:
+    if re.fullmatch(r"\(?-?\d+\)?", d):
+        return f"ROUND({_num(x)}, {d})"
+    scale = f"POWER(10D, CAST({d} AS INT))"
+    return f"(ROUND({_num(x)} * {scale}, 0) / {scale})"
+
+
+_SMALL, _LARGE = (f"'{''.join(map(chr, range(a, a + 26)))}'" for a in (97, 65))
+
+
 def _pad(name: str) -> Callable[..., str]:
     def one(s: str, n: str, p: str = "' '") -> str:
         size = f"CAST({n} AS INT)"
@@ -47,8 +71,8 @@ def _power(a: str, b: str) -> str:
 
 #: name -> (fewest arguments, most, template)
 SCALARS: dict[str, tuple[int, int, Callable[..., str]]] = {
-    "upper": (1, 1, lambda x: f"UPPER({_text(x)})"),
-    "lower": (1, 1, lambda x: f"LOWER({_text(x)})"),
+    "upper": (1, 1, lambda x: f"TRANSLATE({_text(x)}, {_SMALL}, {_LARGE})"),
+    "lower": (1, 1, lambda x: f"TRANSLATE({_text(x)}, {_LARGE}, {_SMALL})"),
     **dict.fromkeys(("length", "len", "octet_length"), (1, 1, lambda x: f"CAST(OCTET_LENGTH({_text(x)}) AS BIGINT)")),
     **dict.fromkeys(("char_length", "character_length"), (1, 1, lambda x: f"CAST(CHAR_LENGTH({_text(x)}) AS BIGINT)")),
     "trim": (1, 2, _trim("BOTH")),
@@ -57,13 +81,13 @@ SCALARS: dict[str, tuple[int, int, Callable[..., str]]] = {
     **dict.fromkeys(("substr", "substring"), (2, 3, _substr)),
     "concat": (1, 99, lambda *x: f"CONCAT({', '.join(f"COALESCE({_text(a)}, '')" for a in x)})"),
     "replace": (3, 3, lambda s, a, b: f"IF({a} = '' AND {b} IS NOT NULL, {_text(s)}, REPLACE({_text(s)}, {_text(a)}, {_text(b)}))"),
-    "instr": (2, 2, lambda h, n: f"CAST(INSTR({_text(h)}, {_text(n)}) AS BIGINT)"),
+    "instr": (2, 2, _place),
     "repeat": (2, 2, lambda s, n: f"IF(OCTET_LENGTH({_text(s)}) * CAST({n} AS BIGINT) > 16777216, RAISE_ERROR('REPEAT makes more than 16 MiB'), REPEAT({_text(s)}, CAST({n} AS INT)))"),
     "reverse": (1, 1, lambda x: f"REVERSE({_text(x)})"),
     "lpad": (2, 3, _pad("LPAD")),
     "rpad": (2, 3, _pad("RPAD")),
     "abs": (1, 1, lambda x: f"ABS({x})"),
-    "round": (1, 2, lambda x, d="0": f"(CASE WHEN {d} IS NULL THEN NULL ELSE ROUND({_num(x)}, {d}) END)"),
+    "round": (1, 2, _round),
     "floor": (1, 1, lambda x: f"CAST(FLOOR({x}) AS DOUBLE)"),
     **dict.fromkeys(("ceil", "ceiling"), (1, 1, lambda x: f"CAST(CEIL({x}) AS DOUBLE)")),
     "mod": (2, 2, lambda a, b: f"TRY_MOD({a}, {b})"),

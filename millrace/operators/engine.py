@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import re
+import shutil
+import tempfile
 import threading
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import affinity
-from millrace.operators.query import Query
+from millrace.operators.query import PlainQuery, Query
 from millrace.plans.parser import Node, SqlError, parse, walk
 from millrace.plans.render import QUERY, Renderer, bind, quote, refers
 
@@ -113,7 +118,7 @@ class Engine:
     def create_function(self, name: str, fn: Callable, returns: str = "string", args: int = -1) -> None:
         """A scalar function; it gets None for NULL and replaces a built-in of the same name in this engine only."""
         real = f"mr_{self.id}_{name.lower()}"
-        self.spark.udf.register(real, fn, returns)
+        self.spark.udf.register(real, F.udf(fn, returns, useArrow=True))
         self.functions[name.lower()] = (real, args)
 
     def create_aggregate(self, name: str, step: Callable, final: Callable, returns: str = "double", start: Callable = lambda: None, args: int = 1) -> None:
@@ -196,36 +201,59 @@ class Engine:
         if cols:
             seen = seen.toDF(*cols)
         every = body["all"]
-        seen = self._cut(seen if every else seen.distinct())
-        new, view = seen, f"mr_{self.id}_{name.lower()}_{next(_ids)}"
+        new, view = self._cut(seen if every else seen.distinct()), f"mr_{self.id}_{name.lower()}_{next(_ids)}"
+        seen, parts, rows = new, [new], new.count()
         stop = body["limit"]["v"] if body["limit"] is not None else None
         for _ in range(self.limits.recursion):
-            if new.isEmpty() or (stop is not None and seen.count() >= stop):
+            if not parts[-1].take(1) or (stop is not None and rows >= stop):
                 break
             new.createOrReplaceTempView(view)
             found = self._run(lead(body["right"]), extra | {name.lower(): view}).toDF(*seen.columns)
             found = found.select(*(F.col(quote(f.name)).cast(f.dataType).alias(f.name) for f in seen.schema))
+            # what a round finds is written alone; only every 32 rounds are the parts written together
             new = self._cut(found if every else found.distinct().subtract(seen))
-            seen = self._cut(seen.union(new))
+            parts.append(new)
+            rows += new.count() if stop is not None else 0
+            if len(parts) > 32:
+                parts = [self._cut(reduce(DataFrame.union, parts[:-1])), new]
+            seen = reduce(DataFrame.union, parts)
         else:
             raise LimitError(f"the recursion goes on: the limit recursion is {self.limits.recursion}")
         (seen.limit(stop) if stop is not None else seen).createOrReplaceTempView(view)
         return view
 
     def _cut(self, df: DataFrame) -> DataFrame:
-        """Cut lineage with a checkpoint in the shared folder that the session names."""
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        """Cut lineage with a checkpoint in the shared folder that the session names (a temporary one on one machine)."""
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            folder = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not folder:
+                if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+                folder = tempfile.mkdtemp(prefix="millrace-")
+                atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.setCheckpointDir(folder)
         return df.checkpoint()
 
-    def query(self, sql: str, params: list | dict | None = None) -> Query:
-        return Query(self.sql(sql, params), self)
-
-    def from_table(self, name: str) -> Query:
+    def query(self, sql: str, params: list | dict | None = None, ctes: dict[str, Query] | None = None) -> Query:
+        """A query; ``ctes`` are relations that its SQL may name (names of tables are taken)."""
+        at = self
+        for name, other in (ctes or {}).items():
+            if self.exists(name) or name.startswith("__"):
+                raise ValueError(f"{name} is taken")
+            at = at.session() if at is self else at
+            at.register(name, other.df)
+        return Query(at.sql(sql, params), self)
+
+    def from_table(self, name: str, pages: bool = True) -> Query:
+        """A fluent query over a table; without ``pages`` a later limit or offset replaces an earlier one."""
         t = self.table(name)
-        return Query(t.df.where(t.readable) if t.readable else t.df, self, pk=t.pk)
+        return (Query if pages else PlainQuery)(t.df.where(t.readable) if t.readable else t.df, self, pk=t.pk)
+
+    def keep(self, name: str) -> Engine:
+        """Hold a table's rows in memory and on disk once they have been read."""
+        self.table(name).df.persist()
+        return self
 
     def one(self, sql: str, params=None):
         return self.sql(sql, params).first()
@@ -315,6 +343,11 @@ class Engine:
         fields = {f.name.lower(): f for f in t.df.schema}
         if bad := [c for c, _ in n["sets"] if c.lower() not in fields]:
             raise SqlError(f"no column {bad[0]} in {n['table']}")
+        if self._by_row(n):
+            view, r, scoped = self._scoped(n, t)
+            sets = {c.lower(): r.e(v) for c, v in n["sets"]}
+            cols = [f"CASE WHEN {scoped} THEN CAST({sets[c]} AS {f.dataType.simpleString()}) ELSE {quote(f.name)} END AS {quote(f.name)}" if c in sets else quote(f.name) for c, f in fields.items()]
+            return self._rewritten(n, view, scoped, f"SELECT {', '.join(cols)} FROM {view} AS {quote(n['table'])}")
         every, hit = self._met(n, t)
         count = hit.count()
         new = {c.lower(): f"__new{i}" for i, (c, _) in enumerate(n["sets"])}
@@ -323,21 +356,38 @@ class Engine:
         self._swap(n["table"], both.select(*cols))
         return count
 
+    def _by_row(self, n: Node) -> bool:
+        """Whether a change asks of each row only that row: no subquery, no clock, no function of the user's."""
+        parts = [n["where"] if n["where"] is not None else [], [v for _, v in n.get("sets") or []]]
+        return not any(x.k in QUERY or x.k == "now" or x.k == "call" and x["name"] in self.functions for x in walk(parts))
+
+    def _scoped(self, n: Node, t: Table) -> tuple[str, Renderer, str]:
+        """A view of all rows, a renderer, and the condition of the rows that a change meets, true or false."""
+        view = f"mr_{self.id}_{n['table'].lower()}__all_{next(_ids)}"
+        t.df.createOrReplaceTempView(view)
+        r = self._renderer(Node("both", w=n["where"], s=[v for _, v in n.get("sets") or []]))
+        test = r.truth(n["where"]) if n["where"] is not None else "TRUE"
+        scope = t.updatable if n.k == "update" else t.deletable
+        return view, r, " AND ".join([f"COALESCE({test}, FALSE)", *(f"COALESCE(({s}), FALSE)" for s in (scope, t.readable) if s)])
+
+    def _rewritten(self, n: Node, view: str, scoped: str, sql: str) -> int:
+        """A change as a projection or filter of the rows: nothing is written or shuffled."""
+        count = self.spark.sql(f"SELECT 1 FROM {view} AS {quote(n['table'])} WHERE {scoped}").count()
+        self._swap(n["table"], self.spark.sql(sql))
+        return count
+
     def _met(self, n: Node, t: Table) -> tuple[DataFrame, DataFrame]:
         """All rows of a table with numbers, and the numbers of those that a change meets, with new values."""
         every = self._cut(t.df.withColumn("__row", F.monotonically_increasing_id()))
-        every.createOrReplaceTempView(f"mr_{self.id}_{n['table'].lower()}__all")
-        table, view = n["table"], f"mr_{self.id}_{n['table'].lower()}__all"
-        sets = n.get("sets") or []
-        r = self._renderer(Node("both", w=n["where"], s=[v for _, v in sets]))
-        test = r.truth(n["where"]) if n["where"] is not None else "TRUE"
-        scope = t.updatable if n.k == "update" else t.deletable
-        scoped = " AND ".join([f"COALESCE({test}, FALSE)", *(f"COALESCE(({s}), FALSE)" for s in (scope, t.readable) if s)])
-        cols = [f"{r.e(v)} AS __new{i}" for i, (_, v) in enumerate(sets)]
-        return every, self._cut(self.spark.sql(f"SELECT {', '.join(['__row', *cols])} FROM {view} AS {quote(table)} WHERE {scoped}"))
+        view, r, scoped = self._scoped(n, replace(t, df=every))
+        cols = [f"{r.e(v)} AS __new{i}" for i, (_, v) in enumerate(n.get("sets") or [])]
+        return every, self._cut(self.spark.sql(f"SELECT {', '.join(['__row', *cols])} FROM {view} AS {quote(n['table'])} WHERE {scoped}"))
 
     def _x_delete(self, n: Node) -> int:
         t = self.table(n["table"])
+        if self._by_row(n):
+            view, _, scoped = self._scoped(n, t)
+            return self._rewritten(n, view, scoped, f"SELECT * FROM {view} AS {quote(n['table'])} WHERE NOT ({scoped})")
         every, hit = self._met(n, t)
         self._swap(n["table"], every.join(hit, "__row", "left_anti").drop("__row"))
         return hit.count()

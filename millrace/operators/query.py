@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from millrace.operators.predicate import Predicate, any_of, condition, from_url
+from millrace.operators.predicate import Bind, Predicate, any_of, condition, from_url
 
 
 class Collection(list):
@@ -52,12 +52,24 @@ class Query:
     ``limit`` only shrinks and ``offset`` adds up within what is left; a filter after them applies to the page.
     """
 
-    def __init__(self, df: DataFrame, engine=None, *, pk: list[str] | None = None, sort: tuple = (), start: int = 0, size: int | None = None) -> None:
+    def __init__(self, df: DataFrame, engine=None, *, pk: list[str] | None = None, sort: tuple = (), start: int = 0, size: int | None = None, more: dict | None = None, props: dict | None = None) -> None:
         self._df, self._engine, self._pk, self._sort, self._start, self._size = df, engine, pk or [], sort, start, size
+        self._more, self._props = more or {}, props or {}
 
     def _but(self, **parts) -> Query:
-        now = {"pk": self._pk, "sort": self._sort, "start": self._start, "size": self._size} | parts
-        return Query(now.pop("df", self._df), self._engine, **now)
+        now = {"pk": self._pk, "sort": self._sort, "start": self._start, "size": self._size, "more": self._more, "props": self._props} | parts
+        return type(self)(now.pop("df", self._df), self._engine, **now)
+
+    def with_property(self, name: str, value: Any) -> Query:
+        """A note that goes along with the query."""
+        return self._but(props=self._props | {name: value})
+
+    def get_property(self, name: str, default: Any = None) -> Any:
+        return self._props.get(name, default)
+
+    def template(self) -> Template:
+        """Steps to be taken later, whose values may be Bind names."""
+        return Template(self)
 
     @property
     def df(self) -> DataFrame:
@@ -126,7 +138,7 @@ class Query:
         q = self.barrier()
         base = self._engine.session() if self._engine else Engine(q._df.sparkSession)
         base.register("__this", q._df)
-        for n, df in more.items():
+        for n, df in (self._more | more).items():
             base.register(n, df)
         return q._but(df=base.sql(sql, params))
 
@@ -182,11 +194,17 @@ class Query:
             cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
         return self._but(df=a.join(b, cond, "left_anti"), sort=(), start=0, size=None)
 
-    def with_cte(self, name: str, other: Query, sql: str) -> Query:
-        """Run SQL over this query (``__this``) and another, named ``name``; a name of a table is an error."""
-        if name.startswith("__") or (self._engine and self._engine.exists(name)):
+    def with_cte(self, name: str, other: Query, sql: str | None = None) -> Query:
+        """Let the SQL of later steps name another query; or run SQL over this one (``__this``) and it at once.
+
+        The name of a table or of an earlier one is an error, and so is a query of another session.
+        """
+        if name.startswith("__") or name in self._more or (self._engine and self._engine.exists(name)):
             raise ValueError(f"{name} is taken")
-        return self._sql(sql, None, **{name: other.df})
+        if other._df.sparkSession is not self._df.sparkSession:
+            raise ValueError(f"{name} belongs to another session")
+        q = self._but(more=self._more | {name: other.df})
+        return q if sql is None else q._sql(sql)
 
     # results
     def __iter__(self) -> Iterator[Row]:
@@ -237,3 +255,61 @@ class Query:
 
     def explain(self) -> None:
         self.df.explain("formatted")
+
+
+class PlainQuery(Query):
+    """A query whose limit and offset replace earlier ones."""
+
+    def limit(self, n: int) -> Query:
+        return self._but(size=n)
+
+    def offset(self, n: int) -> Query:
+        return self._but(start=n)
+
+
+class Template:
+    """Recorded steps of a query; bind() gives values to some or all of their names, ``query`` takes the steps."""
+
+    STEPS = ("eq", "lt", "lte", "gt", "gte", "like", "in_", "or_", "matching", "where", "order", "limit", "offset", "columns", "select", "rename", "distinct")
+
+    def __init__(self, base: Query, steps: tuple = ()) -> None:
+        self._base, self._steps = base, steps
+
+    def __getattr__(self, name: str) -> Callable[..., Template]:
+        if name not in self.STEPS:
+            raise AttributeError(name)
+        return lambda *args: Template(self._base, (*self._steps, (name, args)))
+
+    def names(self) -> set[str]:
+        """What still has no value."""
+        return {n for _, args in self._steps for a in args for n in _binds(a)}
+
+    def bind(self, **values: Any) -> Template:
+        if extra := set(values) - self.names():
+            raise KeyError(f"no parameter {sorted(extra)[0]}")
+        return Template(self._base, tuple((name, tuple(_filled(a, values) for a in args)) for name, args in self._steps))
+
+    @property
+    def query(self) -> Query:
+        if left := self.names():
+            raise ValueError(f"no value for parameter {sorted(left)[0]}")
+        out = self._base
+        for name, args in self._steps:
+            out = getattr(out, name)(*args)
+        return out
+
+
+def _binds(a: Any) -> set[str]:
+    if isinstance(a, Bind):
+        return {a.name}
+    if isinstance(a, Predicate):
+        return {n for _, _, v in a.parts for n in _binds(v)}
+    return {n for x in a for n in _binds(x)} if isinstance(a, (list, tuple)) else set()
+
+
+def _filled(a: Any, values: dict) -> Any:
+    if isinstance(a, Bind):
+        return values.get(a.name, a)
+    if isinstance(a, Predicate):
+        return a.bind(**{k: v for k, v in values.items() if k in _binds(a)})
+    return type(a)(_filled(x, values) for x in a) if isinstance(a, (list, tuple)) else a

@@ -83,3 +83,71 @@ def test_fluent(db):
         Predicate().eq("a", Bind("x")).column()
     assert q.url("age:gte=30&name:like=*l*").count() == 2
     assert q.all().map(lambda r: r.id).reduce(lambda a, b: a + b, 0) == 10
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT id FROM users WHERE age >= ALL (SELECT oid FROM orders)", "SELECT id FROM users WHERE age < ANY (SELECT oid FROM orders)", "SELECT id FROM users WHERE id = ANY (SELECT oid FROM orders)",
+    "SELECT id FROM users WHERE id NOT IN (SELECT oid FROM orders)", "SELECT id FROM users WHERE age <> ALL (SELECT oid FROM orders) AND name <> 'x'",
+])
+def test_no_nested_loop_over_a_subquery(spark, db, sql):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = db.sql(sql)
+        df.collect()
+        assert "NestedLoop" not in plan(df) and "Broadcast" not in plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quantified_comparisons_with_nulls(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, v long"))
+    e.register("s", spark.createDataFrame([(1,), (2,), (None,)], "v long"))
+    got = lambda c: sorted(r[0] for r in e.sql(f"SELECT id FROM t WHERE {c}").collect())
+    assert got("v >= ALL (SELECT v FROM s)") == [] and got("v >= ALL (SELECT v FROM s WHERE v IS NOT NULL)") == [2]
+    assert got("v < ANY (SELECT v FROM s)") == [1] and got("v = ANY (SELECT v FROM s)") == [1, 2]
+    assert got("v <> ANY (SELECT v FROM s WHERE v = 1)") == [2] and got("v <> ALL (SELECT v FROM s WHERE v = 1)") == [2]
+    assert got("v = ALL (SELECT v FROM s WHERE v = 2)") == [2] and got("v > ALL (SELECT v FROM s WHERE v > 9)") == [1, 2, 3]
+    assert got("NOT v = ANY (SELECT v FROM s WHERE v = 1)") == [2, 3] and got("v > ANY (SELECT v FROM s WHERE v > 9)") == []
+    assert got("v NOT IN (SELECT v FROM s)") == [] and got("v NOT IN (SELECT v FROM s WHERE v = 1)") == [2] and got("v NOT IN (SELECT v FROM s WHERE v > 9)") == [1, 2, 3]
+
+
+def test_changes_by_row_need_no_join(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, n long"))
+    assert e.exec("UPDATE t SET n = n + 1, id = n WHERE n IS NOT NULL") == 2  # both from the old row
+    assert e.exec("DELETE FROM t WHERE n > 2") == 1
+    df = e.sql("SELECT id, n FROM t")
+    assert sorted(map(tuple, df.collect()), key=repr) == [(1, 2), (3, None)]
+    assert "Join" not in plan(df) and "Exchange" not in plan(df)
+    assert e.exec("UPDATE t SET n = (SELECT MAX(id) FROM t)") == 2
+    assert sorted(map(tuple, e.sql("SELECT id, n FROM t").collect())) == [(1, 3), (3, 3)]
+
+
+def test_nested_subqueries_that_name_the_outermost_table(spark):
+    """Departments all of whose members have ordered each of the department's products."""
+    e = Engine(spark)
+    e.register("d", spark.createDataFrame([(1,), (2,), (3,)], "id long"))
+    e.register("m", spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "id long, dept long"))
+    e.register("o", spark.createDataFrame([(10, 1), (11, 1), (12, 1)], "member long, dept long"))
+    got = lambda sql: sorted(r[0] for r in e.sql(sql).collect())
+    every = "SELECT d.id FROM d WHERE {0} (SELECT 1 FROM m WHERE m.dept = d.id AND {1} (SELECT 1 FROM o WHERE o.member = m.id AND o.dept = d.id))"
+    assert got(every.format("NOT EXISTS", "NOT EXISTS")) == [1, 3]
+    assert got(every.format("EXISTS", "NOT EXISTS")) == [2]
+    assert got(every.format("NOT EXISTS", "EXISTS")) == [2, 3]
+    assert got(every.format("EXISTS", "EXISTS")) == [1]
+
+
+def test_shell(spark, db):
+    import io
+
+    from millrace.__main__ import shell
+
+    out = io.StringIO()
+    shell(db, io.StringIO("SELECT id, name FROM users\nWHERE id = 1;\nSELECT nosuch FROM users;\nCREATE TABLE shell_t (a INTEGER); INSERT INTO shell_t VALUES (1), (2);\n.tables\nSELECT COUNT(*) AS n FROM shell_t"), out)
+    text = out.getvalue()
+    assert "Alice" in text and "error:" in text and "2 rows changed" in text and "shell_t" in text and "\n2\n" in text
