@@ -284,6 +284,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFr
     at = docs.columns.index("text")
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever signs the names have
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for b in slices(batch, f"c{at}"):

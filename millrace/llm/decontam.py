@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept_rows, materialize, mix, ready, slices, union, utf8
+from millrace.llm.common import kept_rows, materialize, mix, ready, slices, trimmed, union, utf8
 from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 
 PERMUTATIONS, LEAST, WORDS = 48, 0.75, 5
@@ -126,6 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = 16 << 20) -> DataF
     for ids, index in blocks_of(benchmark, block):
         items, names = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(ids)
 
+        @trimmed
         def search(batches, items=items, names=names):
             for batch in batches:
                 for b in slices(batch, "text"):

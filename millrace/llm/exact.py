@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WS, Bits, attach, fresh, holder, materialize, may_hold, named, one_of_each, ready, scratch_path
+from millrace.llm.common import WS, Bits, attach, fresh, holder, materialize, may_hold, named, one_of_each, ready, scratch_path, trimmed
 
 #: Rows that one filter is built for, 16 bits each; more rows go in rounds of hash ranges, a filter each.
 ROUND = 1 << 24
@@ -34,6 +34,7 @@ def flagged(digests: DataFrame, rows: int) -> DataFrame:
             own = own.filter((F.col("h") >= low) & (F.col("h") <= high - 1))
         shared = spark.sparkContext.broadcast(Bits(min(rows, ROUND), planes=2).build(own.select("h"), "h"))
 
+        @trimmed
         def test(batches, shared=shared):
             for b in batches:
                 hit = shared.value.test(np.asarray(b.column(2), np.int64), 1) if len(b) else np.zeros(0, bool)

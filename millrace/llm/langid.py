@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, kept_rows, ready, slices, utf8
+from millrace.llm.common import fold, kept_rows, ready, slices, trimmed, utf8
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -101,6 +101,7 @@ def train(docs: DataFrame, per_language: int = 2000) -> Mixture | None:
             part = F.when(F.col("lang") == lang, per_language / n).otherwise(part)
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
 
+    @trimmed
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -139,6 +140,7 @@ def identify(docs: DataFrame, model: Mixture | None) -> DataFrame:
     """
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):

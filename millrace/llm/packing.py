@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ready, slices
+from millrace.llm.common import ready, slices, trimmed
 from millrace.llm.tokens import default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -85,6 +85,7 @@ def pack(docs: DataFrame, room: int = 2048, vocabulary: str | None = None, end_i
     ready(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
 
+    @trimmed
     def run(batches):
         enc, number = encoder(vocabulary), TaskContext.get().partitionId() << 40
         held: list[tuple] = []

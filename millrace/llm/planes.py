@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ready, scratch_path, slices
+from millrace.llm.common import ready, scratch_path, slices, trimmed
 from millrace.llm.tokens import default_vocabulary, encoder
 
 MAGIC = b"MRP1"
@@ -106,6 +106,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
     vocabulary = vocabulary or default_vocabulary()
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
+    @trimmed
     def shards(batches):
         part, seq, first, held = TaskContext.get().partitionId(), 0, 0, [empty]
         enc = encoder(vocabulary)
@@ -142,6 +143,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     starts[[p + 1 for p in sizes]] = list(sizes.values())
     base = spark.sparkContext.broadcast(np.cumsum(starts))
 
+    @trimmed
     def decode(batches):
         for b in batches:
             for part, first, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):

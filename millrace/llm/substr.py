@@ -156,6 +156,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                 parts = [pa.array([raw[x:y] for x, y in zip(f[hit].tolist(), t[hit].tolist(), strict=True)], pa.binary()) for f, t in ((lo, a), (a, hi))]
                 yield pa.RecordBatch.from_arrays([pa.array(gram[hit].view(np.int64)), pa.array(ctx[hit].view(np.int64)), *parts], ["gram", "ctx", "left", "right"])
 
+    @trimmed
     def expand(batches):
         """Whole groups of one anchor, many at a time; partitions are sorted by anchor."""
         held: list[pa.RecordBatch] = []
@@ -188,6 +189,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             if t.num_rows:
                 yield from emit(t)
 
+    @trimmed
     def split(batches):
         """Each context in two: strings that start up to back // 2 left of the anchor, and the others, anchored that much further left."""
         for b in batches:
@@ -266,6 +268,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts without repeats pass straight through; only the others are joined with their spans.
     """
 
+    @trimmed
     def cut(batches):
         for b in batches:
             kept, counts = [], np.zeros((3, len(b)), np.int64)
