@@ -1,8 +1,8 @@
 """Jaccard join on word shingles with a token-group matrix.
 
 1. Texts with equal shingle sets collapse to one representative each.
-2. Grouping: MinHash bands put likely similar representatives in a bucket; each is verified against the bucket's
-   smallest and largest id. Connected representatives form a group.
+2. Grouping: MinHash bands put likely similar representatives in a bucket; each is verified against the nearest two
+   of up to 16 pivots there. Connected representatives form a group.
 3. Token-group matrix: each set sends its prefix (its tokens, rare ones first, up to the length at which
    two sets of Jaccard >= 0.75 must share two tokens) to the token; a token lists the groups whose union has it.
    A query and a group that share fewer than two such tokens cannot hold a link: the bound.
@@ -24,6 +24,8 @@ from millrace.llm.textnum import distinct, shingle_hashes, word_hashes
 WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
 #: 64-bit words of a set's parity sketch: each token flips one bit, so two sketches differ in no more bits than the sets in tokens.
 PARITY = 4
+#: Pivots of a bucket at most.
+PIVOTS = 16
 #: Tokens in so many texts count as frequent and come last in the order of prefixes.
 FREQUENT = 8
 #: For counting, tokens are cut to 40 bits and dealt by the first 12; only their order depends on it.
@@ -253,10 +255,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     reps = materialize(same, "reps")
 
-    band = reps.select("rep", F.explode("bands").alias("band"))
-    pivots = materialize(band.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "pivots")
-    pairs = attach(band, pivots, ["band"], "c", total * BANDS)
-    pairs = pairs.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).union(pairs.filter("rep <> low and rep <> high").select("rep", "high")).distinct()
+    band = reps.select("rep", "n", "odd", F.explode("bands").alias("band"))
+    counts = materialize(band.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
+    member = materialize(attach(band, counts, ["band"], "c", total * BANDS).select("rep", "n", "odd", "band", "c"), "banded")
+    # a set in large buckets of many bands stands in the middle of its likes, whatever its id: the first of these in
+    # each of PIVOTS slots of a bucket is a pivot, and a set is verified against its nearest two by parity sketches
+    score = member.groupBy("rep").agg(F.sum("c").alias("score"))
+    slots = member.join(score, "rep").groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")).agg(F.max(F.struct("score", "rep", "n", "odd")).alias("p"))
+    pivots = slots.groupBy("band").agg(F.collect_list("p").alias("pivots"))
+    pivots = materialize(pivots.join(counts, "band"), "pivots")
+    met = attach(member.drop("c"), pivots, ["band"], "c", total * BANDS)
+    far = " + ".join(f"bit_count(odd[{k}] ^ p.odd[{k}])" for k in range(PARITY))
+    near = f"transform(filter(pivots, p -> p.rep <> rep and 7 * ({far}) <= n + p.n and 4 * least(n, p.n) >= 3 * greatest(n, p.n)), p -> struct({far} as far, p.rep as rep))"
+    pairs = met.select(F.col("rep").alias("a"), F.explode(F.expr(f"slice(array_sort({near}), 1, 2)")).alias("p")).select("a", F.col("p.rep").alias("b")).distinct()
     links = verified(docs, materialize(pairs, "pairs"))
     linked = components(links)
 
