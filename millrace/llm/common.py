@@ -34,6 +34,9 @@ def ready(spark: SparkSession) -> SparkSession:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
+    # whole texts make large batches: a fifth of Spark's default of rows, unless the session has a number of its own
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
@@ -128,7 +131,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tota
     return warm.unionByName(cold)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has about ``most`` bytes of that text column (or one row)."""
     col = batch.column(batch.schema.get_field_index(column))
     size = np.frombuffer(pc.fill_null(pc.binary_length(col), 0).cast(pa.int64()).buffers()[1], np.int64)[: len(col)]
