@@ -5,7 +5,8 @@
    of up to 16 pivots there. Connected representatives form a group.
 3. Token-group matrix: each set sends its prefix (its tokens, rare ones first, up to the length at which
    two sets of Jaccard >= 0.75 must share two tokens) to the token; a token lists the groups whose union has it.
-   A query and a group that share fewer than two such tokens cannot hold a link: the bound.
+   A query and a group that share fewer than two such tokens cannot hold a link: the bound. At frequent tokens
+   a query meets only groups with a member there whose size and parity sketch leave room for a link.
 4. Only qualifying groups are opened. A member stays if the prefixes and two parity sketches leave room for a link,
    and is verified on whole sets.
 """
@@ -26,6 +27,8 @@ WORDS, BANDS, ROWS, SHARED, FIRST = 5, 6, 2, 2, 16
 PARITY = 4
 #: Pivots of a bucket at most.
 PIVOTS = 16
+#: Groups of so many members at a frequent token are tested one by one; larger ones qualify there untested.
+TESTED = 4
 #: Tokens in so many texts count as frequent and come last in the order of prefixes.
 FREQUENT = 8
 #: For counting, tokens are cut to 40 bits and dealt by the first 12; only their order depends on it.
@@ -44,6 +47,12 @@ def _least(n: int) -> int:
     return -(-3 * n // 4)
 
 
+def _parity(mixed: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity sketches of the non-empty sets that start at first."""
+    bit, word = np.uint64(1) << (mixed & np.uint64(63)), (mixed >> np.uint64(6)) % np.uint64(PARITY)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first) for k in range(PARITY)], axis=1)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Per row: size, a 128-bit signature of the shingle set, MinHash bands, a parity sketch; and the tokens of each task, packed for counting."""
 
@@ -73,9 +82,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 band = np.zeros((len(n), BANDS), np.uint64)
                 odd = np.zeros((len(n), PARITY), np.uint64)
                 if len(full):
-                    bit, word = np.uint64(1) << (a & np.uint64(63)), (a >> np.uint64(6)) % np.uint64(PARITY)
-                    for k in range(PARITY):
-                        odd[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), first)
+                    odd[full] = _parity(a, first)
                     sig[:, full] = np.add.reduceat(a, first), np.add.reduceat(c, first)
                     low = [np.minimum.reduceat(a * s, first) for s in _SEEDS]
                     for k in range(BANDS):
@@ -195,17 +202,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidates(prefixes: DataFrame) -> DataFrame:
-    """Token-group matrix: (tok, grp, gsize, doc) rows -> (q, g, hits) that share two tokens or more.
+    """Token-group matrix: (tok, grp, gsize, doc, n, odd) rows -> (q, g, hits) that share two tokens or more.
 
     Of two groups, the members of the smaller one query the larger one. A token of one group gives nothing.
+    Rows of frequent tokens have the size n and the parity sketch odd of their set. There a query passes over groups
+    of few members whose every member at the token is too far from it to link: such hits cannot be part of a link.
     """
 
+    def able(n, odd, a, b):
+        """Rows a x rows b: whether sizes and sketches leave room for a link."""
+        far = sum(np.bitwise_count(odd[a, k][:, None] ^ odd[b, k]).astype(np.int64) for k in range(PARITY))
+        x, y = n[a][:, None], n[b]
+        return (7 * far <= x + y) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+
+    def columns(b):
+        """The batch as arrays; n is 0 where a row has no sketch."""
+        odd = b.column(5)
+        words = np.zeros((len(b), PARITY), np.uint64)
+        words[np.asarray(odd.is_valid())] = np.asarray(odd.flatten(), np.int64).view(np.uint64).reshape(-1, PARITY)
+        return [*(np.asarray(c, np.int64) for c in b.columns[:4]), np.asarray(b.column(4).fill_null(0), np.int64), words]
+
     @trimmed
     def run(batches):
         held = None
 
         def emit(t):
-            tok, grp, size, doc = t
+            tok, grp, size, doc, n, odd = t
             first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, int)
             run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tok))))
             mixed = np.zeros(len(first), bool)
@@ -214,19 +236,27 @@ def candidates(prefixes: DataFrame) -> DataFrame:
             pick = np.flatnonzero(mixed[run_of])
             bounds = np.flatnonzero(np.diff(run_of[pick])) + 1
             for rows in np.split(pick, bounds) if len(pick) else []:
-                gs, at = np.unique(grp[rows], return_index=True)
+                rows = rows[np.argsort(grp[rows], kind="stable")]
+                gs, at, there = np.unique(grp[rows], return_index=True, return_counts=True)
                 g_size = size[rows][at]
                 for lo in range(0, len(rows), 1024):  # tiles of 256 K cells, so 4 MB of pairs at most
                     part = rows[lo : lo + 1024]
                     for glo in range(0, len(gs), 256):
-                        g, n = gs[glo : glo + 256], g_size[glo : glo + 256]
-                        less = (size[part][:, None] < n) | ((size[part][:, None] == n) & (grp[part][:, None] < g))
+                        g, gn = gs[glo : glo + 256], g_size[glo : glo + 256]
+                        less = (size[part][:, None] < gn) | ((size[part][:, None] == gn) & (grp[part][:, None] < g))
+                        if n[rows[0]]:
+                            few, starts = there[glo : glo + 256], at[glo : glo + 256]
+                            room = np.repeat((few > TESTED)[None], len(part), axis=0)
+                            for k in range(TESTED):
+                                some = np.flatnonzero((few > k) & (few <= TESTED))
+                                room[:, some] |= able(n, odd, part, rows[starts[some] + k])
+                            less &= room
                         i, j = np.nonzero(less)
                         if len(i):
                             yield pa.RecordBatch.from_arrays([pa.array(doc[part][i]), pa.array(g[j])], ["q", "g"])
 
         for b in batches:
-            now = [np.asarray(c, np.int64) for c in b.columns]
+            now = columns(b)
             now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)] if held else now
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
             yield from emit([x[:cut] for x in now])
@@ -234,7 +264,7 @@ def candidates(prefixes: DataFrame) -> DataFrame:
         if held:
             yield from emit(held)
 
-    rows = prefixes.repartition("tok").sortWithinPartitions("tok").select("tok", "grp", "gsize", "doc")
+    rows = prefixes.repartition("tok").sortWithinPartitions("tok").select("tok", "grp", "gsize", "doc", "n", "odd")
     hits = rows.mapInArrow(run, "q long, g long").groupBy("q", "g").agg(F.count(F.lit(1)).alias("hits"))
     return hits.filter(F.col("hits") >= SHARED)
 
@@ -292,14 +322,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 last = np.zeros(len(n), np.int64)
                 last[n > 0] = rank[order][(at[:-1] + size - 1)[n > 0]]
                 mates = grouped.value.test(np.asarray(b.column(2), np.int64)) if len(b) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.array(mates), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))], ["rep", "last", "mates", "toks"])
+                rare = np.bincount(doc[keep & (cls[order] == 0)], minlength=len(n))
+                some = rare < size  # sets with a frequent token in the prefix need a sketch there
+                odd = np.zeros((0, PARITY), np.uint64)
+                if some.any():
+                    odd = _parity(mix(s[some[doc]]), np.cumsum(n[some]) - n[some])
+                odds = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]) * PARITY, pa.int32()), pa.array(odd.view(np.int64).ravel()), mask=pa.array(~some))
+                toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s[order][keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(last), pa.array(mates), toks, pa.array(rare, pa.int32()), pa.array(n, pa.int64()), odds], ["rep", "last", "mates", "toks", "rare", "n", "odd"])
 
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("rep"), "text").withColumn("h", F.xxhash64("rep"))
-    found = materialize(text.mapInArrow(prefix, "rep long, last long, mates boolean, toks array<long>").filter("size(toks) > 1"), "prefixes", "none")
+    found = materialize(text.mapInArrow(prefix, "rep long, last long, mates boolean, toks array<long>, rare int, n long, odd array<long>").filter("size(toks) > 1"), "prefixes", "none")
     # a set that the filter of grouped ids clears is a group of its own: its tokens need no join
-    alone = found.filter("not mates").select("toks", F.col("rep").alias("grp"), F.lit(1).cast("long").alias("gsize"), "rep")
-    matrix = alone.union(found.filter("mates").join(groups, "rep").select("toks", "grp", "gsize", "rep"))
-    matrix = matrix.select(F.explode("toks").alias("tok"), "grp", "gsize", F.col("rep").alias("doc"))
+    sketch = ["toks", "rare", "n", "odd"]
+    alone = found.filter("not mates").select(*sketch, F.col("rep").alias("grp"), F.lit(1).cast("long").alias("gsize"), "rep")
+    matrix = alone.union(found.filter("mates").join(groups.select("rep", "grp", "gsize"), "rep").select(*sketch, "grp", "gsize", "rep"))
+    matrix = matrix.select(F.posexplode("toks").alias("pos", "tok"), "rare", "n", "odd", "grp", "gsize", F.col("rep").alias("doc"))
+    often_there = F.col("pos") >= F.col("rare")
+    matrix = matrix.select("tok", "grp", "gsize", "doc", F.when(often_there, F.col("n")).alias("n"), F.when(often_there, F.col("odd")).alias("odd"))
     cand = materialize(candidates(matrix), "qualifying")
     # Of two prefixes the one that ends first has met all its partners in the other: the overlap is at most the
     # shared prefix tokens and the rest of that set. A link needs 3/7 of both sizes.

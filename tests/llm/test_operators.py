@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, repeats and odd columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -167,6 +168,52 @@ def test_near_groups(docs, nothing):
     assert rows_of(ngramjoin.near_groups(nothing)) == []
 
 
+def linked_groups(sets):
+    """The smallest id that links of Jaccard >= 0.75 reach, by brute force, for (id, set) pairs; equal ids are one node."""
+    root = {d: d for d, _ in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in root}
+
+
+def family(copies, changes):
+    """Texts that share frequent shingles with a base text, after more and more changed words."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(copies):
+        words = list(base)
+        for k in range(changes(i)):
+            words[rng.randrange(len(words))] = f"x{i}y{k}"
+        rows.append(" ".join(words[: rng.choice([120, 120, 110, 90])]))
+    return rows
+
+
+def test_near_groups_of_a_family_with_stragglers(spark):
+    texts = family(160, lambda i: 2 + i % 9)
+    rows = [(i - i % 40 if i % 40 == 1 else i, t) for i, t in enumerate(texts)]  # some ids hold two texts
+    want = linked_groups([(i, shingles(t)) for i, t in rows])
+    assert len(set(want.values())) > 20
+    assert any(list(want.values()).count(v) > 3 for v in want.values())
+    got = rows_of(ngramjoin.near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_far_sets_do_not_meet_at_frequent_tokens(spark):
+    """Sketches that differ in 12 bits leave no room for sets of 40 tokens and room for sets of 50; rare tokens have none."""
+    schema = "tok long, grp long, gsize long, doc long, n long, odd array<long>"
+    for n, pairs in [(40, 0), (50, 45), (None, 45)]:
+        rows = [(t, i, 1, i, n, n and [0x3F << 6 * i, 0, 0, 0]) for i in range(10) for t in (1, 2)]
+        assert ngramjoin.candidates(spark.createDataFrame(rows, schema)).count() == pairs
+    many = [(t, i % 2, 5, i, 40, [0x3F << 6 * i, 0, 0, 0]) for i in range(10) for t in (1, 2)]
+    assert ngramjoin.candidates(spark.createDataFrame(many, schema)).count() == 5  # more members than are tested
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, 40)] + [(100, i) for i in range(101, 130)], "a long, b long")
     got = {r["id"]: r["root"] for r in rows_of(ngramjoin.components(edges))}
