@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, ready, slices, trimmed
+from millrace.llm.common import fold, materialize, ready, slices, trimmed, union
 
 #: Letters that a sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
@@ -21,6 +22,8 @@ _EDGE = " \t\"'.,;:!?()[]{}<>%&#*"
 _OUTER = "".join(c for c in _EDGE if c not in LEET)
 #: Letters of the stems that stand in the lexicon beside whole words, as ``abcde-``: longest first.
 STEMS = (7, 6, 5)
+#: Marks of documents that are sent to the texts at once; each further lot reads the table once more.
+MARKS = 2_000_000
 _TWICE = "(" + "|".join(2 * chr(c) for c in range(97, 123)) + ")"
 _ODD = r"\pL[^\pL]+\pL|\pL[0-9@$!|+€]|[0-9@$!|+€]\pL|(aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|lll|mmm|nnn|ooo|ppp|qqq|rrr|sss|ttt|uuu|vvv|www|xxx|yyy|zzz)|(ii|uu|aa)"
 
@@ -30,23 +33,17 @@ class Channel:
 
     KEEP, SWAP, DROP, REPEAT, LOSE = 0.0, math.log(0.6), 0.0, math.log(0.2), math.log(0.02)
 
-    def __init__(self, words: dict[str, float]) -> None:
-        tri: dict[str, float] = defaultdict(float)
+    def __init__(self, tri: dict[str, float]) -> None:
         bi: dict[str, float] = defaultdict(float)
         one: dict[str, float] = defaultdict(float)
-        for w, n in words.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += n
-                bi[s[i - 1 : i + 1]] += n
-                one[s[i]] += n
         ctx2: dict[str, float] = defaultdict(float)
         ctx1: dict[str, float] = defaultdict(float)
-        for k, v in tri.items():
-            ctx2[k[:2]] += v
-        for k, v in bi.items():
-            ctx1[k[:1]] += v
-        self.tri, self.bi, self.one = dict(tri), dict(bi), dict(one)
+        for k, n in tri.items():
+            bi[k[1:]] += n
+            one[k[2]] += n
+            ctx2[k[:2]] += n
+            ctx1[k[1]] += n
+        self.tri, self.bi, self.one = tri, dict(bi), dict(one)
         self.ctx2, self.ctx1, self.total = dict(ctx2), dict(ctx1), sum(one.values()) + 1
         self.memo: dict[str, float] = {}
 
@@ -87,6 +84,16 @@ class Channel:
         return "".join(reversed(out))
 
 
+def trigrams(words: dict[str, float]) -> dict[str, float]:
+    """Counts of the character trigrams of weighted words, two signs before a word and one after it."""
+    out: dict[str, float] = defaultdict(float)
+    for w, n in words.items():
+        s = f"^^{w}$"
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return dict(out)
+
+
 def plain(words: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.utf8_lower(words), _EDGE)
 
@@ -104,6 +111,22 @@ def stems(words: pa.Array) -> list[pa.Array]:
     return [pc.if_else(pc.greater(n, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), "-", ""), pa.scalar(None, pa.string())) for k in STEMS]
 
 
+def tally(texts: pa.Array, y: np.ndarray) -> pa.Table:
+    """(w, n1, n0): in how many texts marked 1 and 0 each word stands, stems beside words."""
+    words, code, wo = word_table(texts)
+    if not len(words):
+        return pa.table({"w": pa.array([], pa.string()), "n1": pa.array([], pa.int64()), "n0": pa.array([], pa.int64())})
+    bare = plain(words)
+    every = pa.concat_arrays([x.cast(pa.string()) for x in (bare, *stems(bare))]).dictionary_encode()
+    number = np.asarray(pc.fill_null(every.indices, -1), np.int64).reshape(-1, len(words))
+    pair = np.unique(np.repeat(np.arange(len(wo) - 1), np.diff(wo)) * len(words) + code)
+    text, most = pair // len(words), len(every.dictionary)
+    own = [(text * most + n)[n >= 0] for n in (row[pair % len(words)] for row in number)]
+    text, entry = np.divmod(np.unique(np.concatenate(own)), most)
+    n1 = np.bincount(entry, y[text], most).astype(np.int64)
+    return pa.table({"w": every.dictionary, "n1": n1, "n0": np.bincount(entry, minlength=most) - n1})
+
+
 class Scorer:
     """Hits of a lexicon of restored words, and a logistic model over them."""
 
@@ -166,23 +189,6 @@ class Scorer:
                             out[d][self.at[w] if w in self.at else self.at[w + "-"]] += 1
         return out
 
-    def fit(self, hits: list[dict[int, int]], y: np.ndarray, weight: np.ndarray, rounds: int = 300) -> None:
-        """Logistic regression on 1 + log(count) of the entries that a text has; work grows with those alone."""
-        row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-        col = np.array([k for h in hits for k in h], np.int64)
-        x = 1 + np.log(np.array([n for h in hits for n in h.values()], np.float64))
-        w, b = np.zeros(len(self.lexicon)), math.log(max(1e-3, np.average(y, weights=weight)))
-        m = v = np.zeros(len(w) + 1)
-        weight = weight / weight.sum()
-        for t in range(1, rounds + 1):
-            z = np.bincount(row, x * w[col], len(hits)) + b
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-            g = np.append(np.bincount(col, x * e[row], len(w)) + 1e-5 * w, e.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-            w, b = w - step[:-1], b - step[-1]
-        self.weights, self.bias = w, float(b)
-
     def score(self, hits: list[dict[int, int]]) -> list[float]:
         out = []
         for h in hits:
@@ -191,63 +197,164 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 4000, clean: int = 8000, vocabulary: int = 50_000) -> Scorer:
-    """Fit on a sample of labelled rows: at most ``toxic`` and ``clean`` documents of the two kinds, by a hash.
+def fit(rows: DataFrame, size: int, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on 1 + log(count) of the entries that a text has, over all rows (y, k, n).
+
+    Each round is one pass over the rows on the executors, which send sums alone. Quasi-Newton steps (the last ten
+    differences, scaled by each entry's own curvature) under a normal prior of variance 10, until the gradient is gone.
+    """
 
-    The lexicon has the words, and stems of words, that mark toxic documents of the sample beyond chance (a
-    likelihood ratio over 1e4); a word counts for itself or else for its longest stem. The character model learns from the ``vocabulary`` most frequent words of the sample and, more, from the lexicon.
+    def sums(w: np.ndarray, curve: bool = False) -> tuple[float, np.ndarray]:
+        """Loss and gradient, or instead of the gradient its diagonal derivative; the last place is the bias."""
+        shared = rows.sparkSession.sparkContext.broadcast(w)
+
+        @trimmed
+        def part(batches):
+            loss, out, w = 0.0, np.zeros(size + 1), shared.value
+            for b in batches:
+                y, k, n = np.asarray(b.column(0), np.float64), b.column(1), b.column(2)
+                col = np.asarray(k.flatten(), np.int64)
+                row = np.repeat(np.arange(len(y)), np.diff(np.asarray(k.offsets, np.int64)))
+                x = 1 + np.log(np.asarray(n.flatten(), np.float64))
+                z = np.clip(np.bincount(row, x * w[col], len(y)) + w[-1], -30, 30)
+                p = 1 / (1 + np.exp(-z))
+                e = p * (1 - p) if curve else p - y
+                loss += float((np.log1p(np.exp(z)) - y * z).sum())
+                out[:-1] += np.bincount(col, (x * x if curve else x) * e[row], size)
+                out[-1] += e.sum()
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (loss, at.astype("<i4").tobytes(), out[at].tobytes())], ["loss", "at", "sums"])
+
+        total, out = 0.0, np.zeros(size + 1)
+        for r in sorted(rows.mapInArrow(part, "loss double, at binary, sums binary").collect()):
+            total += r["loss"]
+            out[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["sums"], np.float64)
+        shared.destroy()
+        return total, out
+
+    marks = rows.agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
+    prior = np.append(np.full(size, 0.1), 0.0)
+    w = np.zeros(size + 1)
+    p = min(max(marks["y"] or 0.0, 1e-3), 1 - 1e-3)
+    w[-1] = math.log(p / (1 - p))
+    scale = 1 / np.sqrt(sums(w, curve=True)[1] + prior + 1e-9)
+
+    def at(u: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = sums(u * scale)
+        return loss + float((prior * (u * scale) ** 2).sum()) / 2, (g + prior * u * scale) * scale
+
+    u = w / scale
+    loss, g = at(u)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() <= 1e-4 * math.sqrt(marks["n"]):
+            break
+        step, turns = -g, []
+        for s, d in reversed(kept):
+            turns.append((s @ step) / (s @ d))
+            step = step - turns[-1] * d
+        if kept:
+            step = step * ((kept[-1][0] @ kept[-1][1]) / (kept[-1][1] @ kept[-1][1]))
+        for (s, d), t in zip(kept, reversed(turns), strict=True):
+            step = step + (t - (d @ step) / (s @ d)) * s
+        length = 1.0
+        while length > 1e-6:
+            to, slope = at(u + length * step), float(g @ step)
+            if to[0] <= loss + 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, d = length * step, to[1] - g
+        if s @ d > 1e-12:
+            kept = [*kept[-9:], (s, d)]
+        u, (loss, g) = u + s, to
+    w = u * scale
+    return w[:-1], float(w[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Fit on all labelled rows. The marks go to the texts, MARKS of them at a time, so that no text is shuffled.
+
+    The lexicon has the words, and stems of words, that mark toxic documents beyond chance (a likelihood ratio over
+    1e4); a word counts for itself or else for its longest stem. The character model learns from all words, each
+    weighing the logarithm of its texts, and, more, from the lexicon. What reaches the driver follows the lexicon
+    and the number of distinct trigrams, not the rows.
     """
     spark = ready(docs.sparkSession)
-    kinds = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    n = {r["y"]: r["n"] for r in kinds.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pick = [kinds.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in ((1, toxic), (0, clean))]
-    sample = F.broadcast(pick[0].union(pick[1]))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("y", "text")
+    kinds = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    kinds = materialize(kinds, "marks")
+    parts = max(1, -(-kinds.count() // MARKS))
+    own = [kinds.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k) for k in range(parts)]
+    rows = materialize(union([docs.select("doc_id", "text").join(F.broadcast(k), "doc_id").select("y", "text") for k in own]), "labelled")
 
     @trimmed
     def count(batches):
-        both = [Counter(), Counter()]
-        docs_of = [0, 0]
+        held, docs_of = [], [0, 0]
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            t = pa.concat_tables(held).group_by("w").aggregate([("n1", "sum"), ("n0", "sum")])
+            held.clear()
+            yield from t.select(["w", "n1_sum", "n0_sum"]).rename_columns(["w", "n1", "n0"]).combine_chunks().to_batches(20_000)
+
         for batch in batches:
             for b in slices(batch, "text"):
-                words, code, wo = word_table(b.column(1))
-                bare = plain(words).to_pylist() if len(words) else []
-                for y, lo, hi in zip(b.column(0).to_pylist(), wo[:-1], wo[1:], strict=True):
-                    own = {bare[c] for c in np.unique(code[lo:hi]).tolist()}
-                    both[y].update(own | {w[:k] + "-" for w in own for k in STEMS if len(w) > k})
-                    docs_of[y] += 1
-        words = list((both[0] | both[1]).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *(pa.array([*(both[y][w] for w in words), docs_of[y]], pa.int64()) for y in (1, 0))], ["w", "n1", "n0"])
-
-    table = rows.mapInArrow(count, "w string, n1 long, n0 long").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).cache()
+                y = np.asarray(b.column(0), np.int64)
+                held.append(tally(b.column(1), y))
+                docs_of = [docs_of[0] + int((y == 0).sum()), docs_of[1] + int((y == 1).sum())]
+                if sum(map(len, held)) > 1 << 18:
+                    yield from whole()
+        held.append(pa.table({"w": pa.array([None], pa.string()), "n1": [docs_of[1]], "n0": [docs_of[0]]}))
+        yield from whole()
+
+    table = materialize(rows.mapInArrow(count, "w string, n1 long, n0 long").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "words")
     docs_of = table.filter("w is null").first()
     if docs_of is None or not docs_of["n1"]:
-        table.unpersist()
-        return Scorer([], Channel({"a": 1.0}))
+        return Scorer([], Channel({}))
     base = docs_of["n1"] / (docs_of["n1"] + docs_of["n0"])
     part = F.col("n1") / (F.col("n1") + F.col("n0"))
     gain = F.col("n1") * F.log(part / base) + F.col("n0") * F.when(F.col("n0") > 0, F.log((1 - part) / (1 - base))).otherwise(0)
     marks = table.filter("w is not null and length(w) > 1").filter(part > base).filter(gain > math.log(1e4))
     lex = [r["w"] for r in marks.orderBy(gain.desc(), "w").collect()]
-    common = {r["w"]: float(r["n"]) for r in table.filter("w is not null").filter(F.col("w").rlike(r"^\p{L}+$")).select("w", (F.col("n1") + F.col("n0")).alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
-    clean = table.filter("n0 >= 5").filter(F.col("w").rlike(_TWICE)).orderBy(F.desc("n0"), "w").limit(vocabulary)
-    known = [r["w"] for r in clean.select("w").collect()]
-    table.unpersist()
-    top = max(common.values(), default=1.0)
-    scorer = Scorer(lex, Channel({w: math.log1p(c) for w, c in common.items()} | {w: 20 * math.log1p(top) for w in lex if w.isalpha()}), known=known)
+
+    @trimmed
+    def letters(batches):
+        own: Counter = Counter()
+        for b in batches:
+            own.update(trigrams(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))))
+            if len(own) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["g", "n"])
+                own.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["g", "n"])
+
+    common = table.filter("w is not null").filter(F.col("w").rlike(r"^\p{L}+$")).select("w", F.log1p(F.col("n1") + F.col("n0")).alias("n"))
+    top = common.agg(F.max("n")).first()[0] or math.log(2)
+    # whole thousandths, so that sums don't depend on their order
+    grams = common.select("w", F.round(1000 * F.col("n")).cast("long").alias("n")).mapInArrow(letters, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    tri = Counter({r["g"]: r["n"] / 1000 for r in grams.orderBy("g").collect()})
+    tri.update(trigrams({w: 20 * top for w in lex if w.isalpha()}))
+    scorer = Scorer(lex, Channel(dict(tri)))
     shared = spark.sparkContext.broadcast(scorer)
 
+    @trimmed
+    def mistaken(batches):
+        """Of words with double letters those that would be taken for an entry in disguise."""
+        for b in batches:
+            yield b.filter(pa.array([shared.value.restore(w) >= 0 for w in b.column(0).to_pylist()], pa.bool_()))
+
+    twice = table.filter("n0 >= 5").filter(F.col("w").rlike(_TWICE)).select("w")
+    scorer.known = sorted(r["w"] for r in twice.mapInArrow(mistaken, "w string").collect())
+    exact = spark.sparkContext.broadcast(scorer)
+
     @trimmed
     def measure(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                hits = shared.value.hits(b.column(1))
+                hits = exact.value.hits(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(map(int, h)) for h in hits], pa.list_(pa.int32())), pa.array([list(h.values()) for h in hits], pa.list_(pa.int32()))], ["y", "k", "n"])
 
-    got = rows.mapInArrow(measure, "y int, k array<int>, n array<int>").collect()
-    y = np.array([r["y"] for r in got], np.float64)
-    weight = np.where(y == 1, n.get(1, 0) / max(1, (y == 1).sum()), n.get(0, 0) / max(1, (y == 0).sum()))
-    scorer.fit([dict(zip(r["k"], r["n"], strict=True)) for r in got], y, weight)
+    found = materialize(rows.mapInArrow(measure, "y int, k array<int>, n array<int>"), "hits")
+    scorer.weights, scorer.bias = fit(found, len(lex))
     return scorer
 
 

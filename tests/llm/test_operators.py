@@ -351,6 +351,25 @@ def test_toxicity(spark, docs, nothing):
     assert rows_of(toxicity.predict_toxicity(nothing, labels)) == []
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """Words that only a dozen of many labelled texts have are in the lexicon, and the fit is the optimum over all rows."""
+    monkeypatch.setattr(toxicity, "MARKS", 6000)  # three lots
+    code = lambda j: "q" + "".join(chr(97 + j // 26**k % 26) for k in range(3))
+    rows = [(i, f"this {code(i // 12)} here" if i < 6000 else f"this book{i % 50} here") for i in range(16_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 6000)) for i in range(16_000)], "doc_id long, quality int, toxic int")
+    scorer = toxicity.train(df, labels)
+    assert scorer.weights.shape == (len(scorer.lexicon),)
+    assert {code(j) for j in range(500)} <= set(scorer.lexicon)
+    hits = scorer.hits(pa.array([t for _, t in rows]))
+    e = np.array(scorer.score(hits)) - (np.arange(16_000) < 6000)
+    slope = 0.1 * scorer.weights
+    for h, x in zip(hits, e, strict=True):
+        for k, n in h.items():
+            slope[k] += (1 + np.log(n)) * x
+    assert abs(e.sum()) < 1 and np.abs(slope).max() < 0.5
+
+
 def test_outer_signs_and_double_letters_are_restored(spark):
     rows = [(i, f"you are a {('idiot', 'good book', 'good friend', 'moron', 'good book', 'good friend')[i % 6]} number{i} indeed") for i in range(200)]
     odd = ["what an !diot", "an *diot", "i d ! o t", "an idiott", "an idioot", "a mmoron", "a moronn."]
