@@ -14,12 +14,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Splits "letters" and one closing mark, which the vocabulary's splitting pattern always separates.
-_TAIL = r"^(?P<stem>[a-zß-öø-ÿ]+)(?P<mark>[.,;:!?])$"
+#: Splits letters and the ASCII marks that close a word, if any: the vocabulary's splitting pattern takes each run as one.
+_TAIL = r"^(?P<stem>[a-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
 #: A run of letters is one word for that pattern.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
+def strings(words: pa.Array) -> list[str]:
+    """A column of words without spaces as Python strings, cut from one string at once."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class WordEncoder:
     """Encodes columns of text; at most ``most`` words stay cached between calls."""
 
@@ -50,7 +57,8 @@ class WordEncoder:
         plain = [w for w in words if _LETTERS.fullmatch(w)]
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            got = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
+            ids = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            got = np.fromiter(ids, kind, len(ids))
             stop = np.flatnonzero(self.last[got]) + 1
             if len(stop) != len(part):
                 each(part)
@@ -74,15 +82,16 @@ class WordEncoder:
         enc = split.flatten().dictionary_encode()
         code, words = np.asarray(enc.indices, np.int64), pc.ascii_lower(enc.dictionary)
         cut = pc.extract_regex(words, _TAIL)
-        stems = pc.coalesce(pc.struct_field(cut, "stem"), words).dictionary_encode()
+        stems = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "stem")), words).dictionary_encode()
         marks = pc.coalesce(pc.struct_field(cut, "mark"), pa.scalar("")).dictionary_encode()
-        keys, tails = stems.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        keys = strings(stems.dictionary)
+        both = keys + strings(marks.dictionary)
         if len(self.at) > self.most:
             self._clear()
-        if new := [w for w in dict.fromkeys(keys + tails) if w not in self.at]:
+        if new := list(dict.fromkeys(w for w in both if w not in self.at)):
             self._learn(new)
-        a = np.array([self.at[w] for w in keys], np.int64)[np.asarray(stems.indices, np.int64)] if keys else np.zeros(0, np.int64)
-        b = np.array([self.at[w] for w in tails], np.int64)[np.asarray(marks.indices, np.int64)] if tails else a
+        place = np.fromiter(map(self.at.__getitem__, both), np.int64, len(both))
+        a, b = place[np.asarray(stems.indices, np.int64)], place[len(keys) + np.asarray(marks.indices, np.int64)]
         pair = np.stack([a, b], 1)[code].ravel()  # a word is its stem and its mark
         n = self.size[pair]
         end = np.cumsum(n)

@@ -83,6 +83,16 @@ def test_word_encoder_equals_whole_texts():
     assert set(stops.tolist()) <= set(range(len(ids) + 1))
 
 
+def test_words_are_cached_without_their_marks_and_case():
+    texts = ["queez$$$ QUEEZ.*** queez queez!! (queez", "Été### ÉTÉ, été;", "``` a'' b'", "e\u0301te!! x<\u0338 <|endoftext|>. it's.", None, "", " "]
+    e = tokens.WordEncoder(tokens.default_vocabulary())
+    ids, off, _ = e.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == e.tok.encode(t or "", add_special_tokens=False).ids
+    assert {w for w in e.at if "queez" in w or "t\xe9" in w} == {"queez", "(queez", "\xe9t\xe9"}
+    assert tokens.strings(pa.array([], pa.string())) == [] and tokens.strings(pa.array(["a", "", "\xe9\U0001f600"])) == ["a", "", "\xe9\U0001f600"]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_shard_round_trip(kind):
     rng = np.random.default_rng(1)
