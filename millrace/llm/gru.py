@@ -30,8 +30,8 @@ HEAD = PER_CLASS * CLASSES - 1  # frequent words; one place is the end mark's
 LOG10 = float(np.log(10))
 #: Rounds of training: rows whose hash (30 bits) is below the first value and in no earlier round, lanes, rate.
 ROUNDS = ((1 << 24, 64, 0.01), (1 << 26, 64, 0.01), (1 << 28, 256, 0.01), (1 << 30, 256, 0.01))
-#: Bytes of text of a block; entries of a range of hashes on average; parts that weights are cut in to be averaged.
-BLOCK, RANGE, PARTS = 16 << 20, 1 << 20, 16
+#: Bytes of text of a block; entries of a range of hashes on average; parts that weights are cut in to be averaged; words of a window of scoring.
+BLOCK, RANGE, PARTS, SCORED = 16 << 20, 1 << 20, 16, 1 << 14
 
 
 class GRU:
@@ -143,10 +143,11 @@ class GRU:
                 dh[at] += q @ p["ww"][c].T
         return np.log(np.maximum(own, 1e-37)), dh
 
-    def score(self, ids: np.ndarray, off: np.ndarray, lanes: int | None = None, window: int = 16) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, lanes: int | None = None, window: int | None = None) -> np.ndarray:
         """Log-probabilities (natural) of whole texts with their end marks; state goes on from window to window.
 
-        Texts are dealt to lanes, one after the other, so that lanes are about as long as the longest text.
+        Texts are dealt to lanes, one after the other, so that lanes are about as long as the longest text. A
+        window has about SCORED words, so that each class of words has many in one product.
         """
         n = np.diff(off) + 1
         if not len(n):
@@ -160,6 +161,7 @@ class GRU:
         size = np.array([n[x].sum() for x in dealt])
         turn = [k for k in np.argsort(-size, kind="stable").tolist() if size[k]]
         steps, lanes = int(size.max()), len(turn)
+        window = window or max(16, min(steps, SCORED // lanes))
         size = size[turn]
         y = np.full((steps, lanes), self.end)
         who = np.zeros((steps, lanes), np.int64)
@@ -278,6 +280,16 @@ def expand(blob: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def numbered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes and the place of each word among them; only the distinct ones are sorted."""
+    found = pa.array(words).dictionary_encode()
+    u = np.asarray(found.dictionary)
+    order = np.argsort(u)
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], place[np.asarray(found.indices)]
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Rows of BLOCK bytes of text or more: ids and sizes of the texts, the sorted word hashes, their training counts, the texts as places among them."""
 
@@ -288,7 +300,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         def flush():
             ids, learn = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
             sizes, words = (np.concatenate([h[k] for h in held]) for k in (2, 3))
-            u, inv = np.unique(words, return_inverse=True)
+            u, inv = numbered(words)
             teach = np.asarray(learn).astype(bool)
             counts = np.bincount(inv, np.repeat(teach, sizes), len(u)).astype(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, learn, pa.array(sizes, pa.int32()))]
@@ -340,7 +352,7 @@ def corpus_counts(blocks: DataFrame, bits: int) -> DataFrame:
 
         def emit():
             blocks, hs, cs = zip(*held, strict=True)
-            u, inv = np.unique(np.concatenate(hs), return_inverse=True)
+            u, inv = numbered(np.concatenate(hs))
             total = np.bincount(inv, np.concatenate(cs), len(u)).astype(np.int64)
             mine = np.split(total[inv], np.cumsum([len(h) for h in hs])[:-1])
             top = np.flatnonzero(total)

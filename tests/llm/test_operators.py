@@ -501,6 +501,24 @@ def test_gru_gradient_lowers_loss():
     assert m.score(ids[:200], np.array([0, 200]))[0] > before + 50
 
 
+def test_block_words_are_numbered_in_order():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5000):
+        words = rng.integers(0, 1 << 63, 700, np.int64).view(np.uint64)[rng.integers(0, 700, n)] * np.uint64(3)
+        for a, b in zip(gru.numbered(words), np.unique(words, return_inverse=True), strict=True):
+            assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_windows_of_scoring_follow_the_lanes(monkeypatch):
+    """Few lanes get long windows: 2,000 words in two lanes take one output step, in windows of 16 words 63."""
+    m = gru.GRU(np.arange(90, dtype=np.uint64), np.full(90, 3), 1, 1)
+    ids, sizes, output = np.random.default_rng(6).integers(0, 90, 2000), [], m.output
+    monkeypatch.setattr(m, "output", lambda h, y: sizes.append(len(y)) or output(h, y))
+    got = m.score(ids, np.array([0, 1000, 2000]))
+    assert sizes == [2002]
+    assert np.allclose(got, m.score(ids, np.array([0, 1000, 2000]), window=16), rtol=1e-5) and len(sizes) == 64
+
+
 def test_scores_do_not_depend_on_windows():
     ids = np.random.default_rng(4).integers(0, 90, 300)
     m = gru.GRU(np.arange(90, dtype=np.uint64), np.full(90, 3), 1, 1)
